@@ -218,7 +218,7 @@ class ByteBPE:
         cache, first = self.cache, 0
         if len(cache) + len(distinct) > self.CACHE:
             cache.clear()
-        new = list(distinct - cache.keys())
+        new = [p for p in distinct if p not in cache]
         cache.update(zip(new, self.merge(new)))
         last = np.searchsorted(starts, ends)  # each separator starts a piece of its own
         for k in last.tolist():
