@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe
+from . import bpe, simhash
 from .common import table
 
 
+def op1_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark, sf_dir):
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {"op6_byte_bpe": op6_byte_bpe}
+QUERIES = {"op1_simhash": op1_simhash, "op6_byte_bpe": op6_byte_bpe}
 ORACLES: dict[str, str] = {}
