@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, simhash
+from . import bpe, decontam, embed, pii, simhash, toxicity
 from .common import table
 
 
@@ -16,5 +16,46 @@ def op6_byte_bpe(spark, sf_dir):
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op6_byte_bpe": op6_byte_bpe}
-ORACLES: dict[str, str] = {}
+def op2_embedding(spark, sf_dir):
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_decontamination(spark, sf_dir):
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_pii(spark, sf_dir):
+    counts = [f"n_{k}" for k in pii.KINDS]
+    return pii.replace(table(spark, sf_dir, "documents")).select("doc_id", "text", *counts)
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_embedding": op2_embedding,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op8_toxicity": op8_toxicity,
+    "op9_decontamination": op9_decontamination,
+    "op10_pii": op10_pii,
+}
+
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"
+ORACLES: dict[str, str] = {
+    "op9_decontamination": rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+ii AS (SELECT item_id, w, least(10, len(w)) AS k FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, k, array_to_string(w[a:a + k - 1], ' ') AS win FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS a FROM ii)),
+ks AS (SELECT DISTINCT k FROM ii),
+dw AS (SELECT doc_id, k, a, array_to_string(w[a:a + k - 1], ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS a FROM d, ks WHERE len(w) >= k)),
+m AS (SELECT doc_id, item_id, dw.k AS k, a FROM dw JOIN iw ON dw.k = iw.k AND dw.win = iw.win),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(a, a + k)) AS p FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+}
