@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontam, embed, pii, simhash, toxicity
+from . import bpe, chat, decontam, embed, pii, simhash, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_embedding(spark, sf_dir):
     return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_chat(spark, sf_dir):
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +41,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_embedding": op2_embedding,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_chat": op7_chat,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_pii": op10_pii,
