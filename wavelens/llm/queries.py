@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat, decontam, embed, pii, simhash, toxicity
+from . import bpe, chat, decontam, embed, html, pii, simhash, toxicity
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_html(spark, sf_dir):
+    return html.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_byte_bpe(spark, sf_dir):
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -40,6 +44,7 @@ def op10_pii(spark, sf_dir):
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_embedding": op2_embedding,
+    "op4_html": op4_html,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_chat": op7_chat,
     "op8_toxicity": op8_toxicity,
