@@ -72,6 +72,8 @@ class _Lines(HTMLParser):
         if not shut and attrs and tag not in ("html", "body", "article", "main"):
             shut = self.named(attrs)
         if shut or tag in CONTAINERS or tag in ("header", "span", "ul", "ol", "p", "section", "table") and attrs:
+            if shut:
+                self.cut()
             self.stack.append((tag, len(self.kinds), shut))
             self.kinds.append(tag)
             self.shut += shut
@@ -97,6 +99,8 @@ class _Lines(HTMLParser):
         self.tags += 1
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
+                if any(s for _, _, s in self.stack[i:]):
+                    self.cut()
                 self.shut -= sum(s for _, _, s in self.stack[i:])
                 del self.stack[i:]
                 break
