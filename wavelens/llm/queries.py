@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat, decontam, embed, html, pii, simhash, toxicity
+from . import bpe, chat, decontam, embed, html, pii, simhash, suffix, toxicity
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix(spark, sf_dir):
+    return suffix.digest(suffix.deduplicate(table(spark, sf_dir, "documents")))
+
+
 def op4_html(spark, sf_dir):
     return html.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -44,6 +48,7 @@ def op10_pii(spark, sf_dir):
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_embedding": op2_embedding,
+    "op3_suffix": op3_suffix,
     "op4_html": op4_html,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_chat": op7_chat,
