@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat, decontam, embed, html, pii, simhash, suffix, toxicity
+from . import bpe, chat, decontam, embed, html, lm, pii, simhash, suffix, toxicity
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op4_html(spark, sf_dir):
     return html.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op5_cross_entropy(spark, sf_dir):
+    docs = lm.with_target(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return lm.cross_entropy_difference(docs, "is_target")
+
+
 def op6_byte_bpe(spark, sf_dir):
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -50,6 +55,7 @@ QUERIES = {
     "op2_embedding": op2_embedding,
     "op3_suffix": op3_suffix,
     "op4_html": op4_html,
+    "op5_cross_entropy": op5_cross_entropy,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_chat": op7_chat,
     "op8_toxicity": op8_toxicity,
