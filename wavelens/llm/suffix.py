@@ -82,29 +82,33 @@ def _slices(batches, budget=1 << 22):
 
 
 def repeated_tokens(rows: DataFrame, scratch: Scratch, length: int) -> DataFrame:
-    """(doc, tid, h): the leading tokens of each document that other documents have too."""
+    """(doc, h): the leading tokens of each document that other documents have too.
+
+    A task sends a token once, for its first document; those of its further documents are known to be repeated, as is the
+    first then, and are dealt anywhere.
+    """
 
     def gather(batches):
         held: list[tuple] = []
         size = 0
 
         def close():
-            h, d, t = (np.concatenate([x[i] for x in held]) for i in range(3))
+            h, d = (np.concatenate([x[i] for x in held]) for i in range(2))
             held.clear()
-            o = np.lexsort((t, d, h))
-            h, d, t = h[o], d[o], t[o]
-            keep = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (t[1:] != t[:-1])])
-            h, d, t = h[keep], d[keep], t[keep]
+            o = np.lexsort((d, h))
+            h, d = h[o], d[o]
+            keep = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
+            h, d = h[keep].view(np.int64), d[keep]
             head = np.concatenate([[True], h[1:] != h[:-1]])
             more = np.concatenate([~head[1:], [False]])  # a head that others in this task follow
-            known = ~head
-            for sel, flag in ((head, False), (known | (head & more), True)):
-                yield pa.RecordBatch.from_arrays([pa.array(d[sel]), pa.array(t[sel]), pa.array(h[sel].view(np.int64)), pa.array(np.full(sel.sum(), flag))], ["doc", "tid", "h", "known"])
+            known = ~head | (head & more)
+            for sel, at in ((head, h), (known, d)):
+                yield pa.RecordBatch.from_arrays([pa.array(at[sel]), pa.array(h[sel]), pa.array(d[sel]), pa.array(np.full(sel.sum(), at is d))], ["k", "h", "doc", "known"])
 
         for part, texts in _slices(batches):
             _, _, doc, _, _, _, h = segments(texts, length)
             if len(h):
-                held.append((h, part.column(0).to_numpy()[doc], part.column(1).to_numpy()[doc]))
+                held.append((h, part.column(0).to_numpy()[doc]))
                 size += len(h)
             if size > 4_000_000:
                 yield from close()
@@ -115,25 +119,27 @@ def repeated_tokens(rows: DataFrame, scratch: Scratch, length: int) -> DataFrame
     def meet(batches):
         prev = None  # the last row of the batch before, still undecided, and whether it equals its predecessor
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            d, t, h = (batch.column(i).to_numpy() for i in range(3))
-            if prev is not None:
-                d, t, h = np.concatenate([[prev[0]], d]), np.concatenate([[prev[1]], t]), np.concatenate([[prev[2]], h])
-            same = h[1:] == h[:-1]
-            shared = np.concatenate([[prev is not None and prev[3]], same])
-            shared[:-1] |= same
-            prev = (d[-1], t[-1], h[-1], bool(shared[-1]))
-            out = shared[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(d[:-1][out]), pa.array(t[:-1][out]), pa.array(h[:-1][out])], ["doc", "tid", "h"])
-        if prev is not None and prev[3]:
-            yield pa.RecordBatch.from_arrays([pa.array([prev[0]]), pa.array([prev[1]]), pa.array([prev[2]])], ["doc", "tid", "h"])
-
-    tokens = scratch.save(rows.mapInArrow(gather, "doc long, tid long, h long, known boolean"))
-    firsts = tokens.where("NOT known").select("doc", "tid", "h").repartition("h").sortWithinPartitions("h")
-    found = scratch.save(firsts.mapInArrow(meet, "doc long, tid long, h long").unionByName(tokens.where("known").select("doc", "tid", "h")))
-    scratch.drop(tokens)
-    return found
+            if batch.num_rows:
+                known = batch.column(3).to_numpy(zero_copy_only=False)
+                h, d = (batch.column(i).to_numpy() for i in (1, 2))
+                if known.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(d[known]), pa.array(h[known])], ["doc", "h"])
+                h, d = h[~known], d[~known]
+                if not len(h):
+                    continue
+                if prev is not None:
+                    h, d = np.concatenate([[prev[0]], h]), np.concatenate([[prev[1]], d])
+                same = h[1:] == h[:-1]
+                shared = np.concatenate([[prev is not None and prev[2]], same])
+                shared[:-1] |= same
+                prev = (h[-1], d[-1], bool(shared[-1]))
+                out = shared[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array(d[:-1][out]), pa.array(h[:-1][out])], ["doc", "h"])
+        if prev is not None and prev[2]:
+            yield pa.RecordBatch.from_arrays([pa.array([prev[1]]), pa.array([prev[0]])], ["doc", "h"])
+
+    dealt = rows.mapInArrow(gather, "k long, h long, doc long, known boolean").repartition("k").sortWithinPartitions("known", "h")
+    return scratch.save(dealt.mapInArrow(meet, "doc long, h long"))
 
 
 def splitters(rows: DataFrame, length: int, buckets: int, sample: int = 2000) -> list[int]:
@@ -155,51 +161,48 @@ def removed_windows(rows: DataFrame, tokens: DataFrame, length: int) -> DataFram
     spark = rows.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = np.array([int(x) for x in splitters(rows, length, buckets)], np.int64)
-    per = tokens.groupBy("doc", "tid").agg(F.collect_set("h").alias("hs")).select(F.col("doc").alias("_d"), F.col("tid").alias("_t"), "hs")
-    found = rows.join(per, (F.col("doc") == F.col("_d")) & (F.col("tid") == F.col("_t"))).select("doc", "tid", "hs", "text").sortWithinPartitions("doc")
+    per = tokens.groupBy("doc").agg(F.collect_set("h").alias("hs")).select(F.col("doc").alias("_d"), "hs")
+    found = rows.join(per, F.col("doc") == F.col("_d")).select("doc", "tid", "hs", "text").sortWithinPartitions("doc")
     names = ["part", "lead", "tail", "doc", "tid", "ord", "off", "seg", "mask"]
     schema = "part int, lead long, tail long, doc long, tid long, ord int, off int, seg binary, mask long"
 
 
     def emit(batches):
-        seen: dict[tuple, int] = {}
+        seen: dict[bytes, tuple[int, int]] = {}
         size = 0
         for part, texts in _slices(batches):
-            docs, tids = part.column(0).to_numpy(), part.column(1).to_numpy()
-            wanted = part.column(2).to_pylist()
-            buf, begin, doc, s1, s2, a, h = segments(texts, length)
-            if not len(doc):
+            buf, _, doc, s1, s2, a, h = segments(texts, length)
+            wanted = part.column(2).flatten().to_numpy()  # a repeated token is wanted by all documents that have it
+            pick = np.flatnonzero(np.isin(h.view(np.int64), wanted))
+            if not len(pick):
                 continue
+            begin = np.searchsorted(doc, np.arange(len(texts)))  # each document's first stretch
+            doc, s1, s2, a, order = doc[pick], s1[pick], s2[pick], a[pick], pick - begin[doc[pick]]
+            d, t = part.column(0).to_numpy()[doc], part.column(1).to_numpy()[doc]
+            segs = [buf[x:y] for x, y in zip(s1.tolist(), (s2 + length).tolist())]
+            state = np.zeros(len(segs), np.int8)  # 0: skip, 1: send, 2: all windows are repeated
+            for i, (seg, own) in enumerate(zip(segs, zip(d.tolist(), t.tolist()))):
+                before = seen.setdefault(seg, own)
+                if before is own:
+                    state[i] = 1
+                    size += len(seg) + 200
+                elif before != own:
+                    state[i] = 2 if before[0] < own[0] else 1
             w = _words(buf)
             lead = (w[a] ^ np.uint64(1 << 63)).view(np.int64)
             tail = (w[a + 8] ^ np.uint64(1 << 63)).view(np.int64)
-            key = h.view(np.int64)
-            heads = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]])
-            out = [[] for _ in names]
-            for lo, hi in zip(heads, heads[1:]):
-                i = int(doc[lo])
-                d, t = int(docs[i]), int(tids[i])
-                mine = set()
-                for k in (lo + np.flatnonzero(np.isin(key[lo:hi], np.array(wanted[i], np.int64)))).tolist():
-                    seg, off = buf[s1[k] : s2[k] + length], int(a[k] - s1[k])
-                    if (seg, off) in mine:
-                        continue
-                    mine.add((seg, off))
-                    before = seen.get((seg, off))
-                    if before is not None and before < d:  # all windows are repeated
-                        row = (-1 - (d & 0x3FFFFFFF), 0, 0, d, t, k - lo, 0, None, (1 << int(s2[k] - s1[k] + 1)) - 1)
-                    else:
-                        seen.setdefault((seg, off), d)
-                        size += len(seg) + 150
-                        row = (int(np.searchsorted(cuts, lead[k], "right")), int(lead[k]), int(tail[k]), d, t, k - lo, off, seg, 0)
-                    for x, v in zip(out, row):
-                        x.append(v)
-                if size > 96 << 20:
-                    seen.clear()
-                    size = 0
-            out[0] = [p if p >= 0 else (-1 - p) % max(1, buckets) for p in out[0]]
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(out, types)], names)
+            for code in (1, 2):
+                at = np.flatnonzero(state == code)
+                if len(at):
+                    send = code == 1
+                    zero = np.zeros(len(at), np.int64)
+                    where = np.searchsorted(cuts, lead[at], "right") if send else d[at] % max(1, buckets)
+                    mask = zero if send else (np.int64(1) << (s2 - s1 + 1)[at]) - 1
+                    cols = [pa.array(where, pa.int32()), pa.array(lead[at] if send else zero), pa.array(tail[at] if send else zero), pa.array(d[at]), pa.array(t[at]), pa.array(order[at], pa.int32()), pa.array((a - s1)[at], pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array([segs[i] for i in at.tolist()] if send else [None] * len(at), pa.binary()), pa.array(mask)], names)
+            if size > 96 << 20:
+                seen.clear()
+                size = 0
 
     def settle(batches):
         held: list[pa.RecordBatch] = []
@@ -239,18 +242,27 @@ def decide(held: list[pa.RecordBatch], length: int):
     lead, tail, doc = (t.column(i).to_numpy() for i in (1, 2, 3))
     off = t.column(6).to_numpy().astype(np.int64)
     segs = t.column(7).to_pylist()
+    # of equal stretches only the smallest document's is sorted; in the others all windows are repeated
+    first: dict[bytes, int] = {}
+    for i in np.argsort(doc, kind="stable").tolist():
+        first.setdefault(segs[i], i)
+    size = np.array([len(x) for x in segs], np.int64)
+    head = np.array([first[x] for x in segs])
+    bit = np.where(doc[head] < doc, (np.int64(1) << (size - length + 1)) - 1, 0)
     run = np.concatenate([[0], np.cumsum((lead[1:] != lead[:-1]) | (tail[1:] != tail[:-1]))])
-    buf = b"".join(segs)
-    size = np.array([len(s) for s in segs], np.int64)
-    n = size - length + 1
-    row = np.repeat(np.arange(len(segs)), n)
-    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    start = (np.cumsum(size) - size)[row] + step
-    words = _words(buf)
-    least = repeated(run[row] * length + off[row] - step, start, words, length, doc[row])
-    bit = np.zeros(len(segs), np.int64)
-    gone = np.flatnonzero(least < doc[row])
-    np.bitwise_or.at(bit, row[gone], np.int64(1) << step[gone])
+    own = np.flatnonzero(head == np.arange(len(segs)))
+    own = own[np.bincount(run[own], minlength=run[-1] + 1)[run[own]] > 1]  # tokens with one stretch are settled
+    if len(own):
+        buf = b"".join([segs[i] for i in own.tolist()])
+        n, begin = size[own] - length + 1, np.cumsum(size[own]) - size[own]
+        row = np.repeat(np.arange(len(own)), n)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        d = doc[own][row]
+        least = repeated(run[own][row] * length + off[own][row] - step, begin[row] + step, _words(buf), length, d)
+        gone = np.flatnonzero(least < d)
+        np.bitwise_or.at(bit, own[row[gone]], np.int64(1) << step[gone])
+        # rows that share stretch and document share its mask
+        bit |= np.where(doc[head] == doc, bit[head], 0)
     hit = np.flatnonzero(bit)
     if len(hit):
         yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(t.column(4).to_numpy()[hit]), pa.array(t.column(5).to_numpy()[hit]), pa.array(bit[hit])], ["doc", "tid", "ord", "mask"])
@@ -286,24 +298,44 @@ def repeated(label: np.ndarray, start: np.ndarray, words: np.ndarray, length: in
     return least
 
 
-def cut_text(text: bytes, bits: dict[int, int], length: int) -> tuple[bytes, int, int]:
-    """What is left of a text, the bytes removed and the runs they form; bits: masks by number of stretch."""
-    if not bits:
-        return text, 0, 0
-    _, _, _, s1, s2, a, _ = segments([text], length)
-    gone = np.zeros(len(text) + 1, np.int64)
-    first: dict[tuple[bytes, int], int] = {}
-    for k in range(len(s1)):
-        x, y = int(s1[k]), int(s2[k])
-        mask = bits.get(first.setdefault((text[x : y + length], int(a[k]) - x), k))
-        if mask:
-            for j in range(y - x + 1):
-                if mask >> j & 1:
-                    gone[x + j] += 1
-                    gone[x + j + length] -= 1
-    covered = np.cumsum(gone[:-1]) > 0
-    left = np.frombuffer(text, np.uint8)[~covered].tobytes()
-    return left, int(covered.sum()), int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
+def cut_texts(texts: list[bytes], masks: list[dict[int, int]], length: int) -> list[tuple[bytes, int, int]]:
+    """What is left of each text, the bytes removed and the runs they form; masks by number of stretch."""
+    out = [(t, 0, 0) for t in texts]
+    some = [i for i, m in enumerate(masks) if m]
+    if not some:
+        return out
+    buf, begin, doc, s1, s2, _, h = segments([texts[i] for i in some], length)
+    heads = np.searchsorted(doc, np.arange(len(some) + 1))
+    for j, i in enumerate(some):
+        lo, hi = int(heads[j]), int(heads[j + 1])
+        bits = dict(masks[i])
+        key = h[lo:hi]
+        u, inv, count = np.unique(key, return_inverse=True, return_counts=True)
+        again = np.flatnonzero(count[inv] > 1)  # a stretch that returns in the text was sent once
+        first: dict[bytes, int] = {}
+        for k in again.tolist():
+            k0 = first.setdefault(buf[s1[lo + k] : s2[lo + k] + length], k)
+            if k0 in bits:
+                bits[k] = bits[k0]
+        at = np.fromiter(bits.keys(), np.int64, len(bits))
+        mask = np.fromiter(bits.values(), np.int64, len(bits))
+        x = s1[lo + at] - begin[j]
+        n = s2[lo + at] - s1[lo + at] + 1
+        size = len(texts[i])
+        gone = np.zeros(size + 1, np.int64)
+        full = mask == (np.int64(1) << n) - 1
+        np.add.at(gone, x[full], 1)
+        np.add.at(gone, x[full] + n[full] + length - 1, -1)
+        rest = np.flatnonzero(~full)
+        if len(rest):
+            r, c = np.nonzero((mask[rest][:, None] >> np.arange(length - TOKEN + 1)) & 1)
+            start = x[rest][r] + c
+            np.add.at(gone, start, 1)
+            np.add.at(gone, start + length, -1)
+        covered = np.cumsum(gone[:-1]) > 0
+        left = np.frombuffer(texts[i], np.uint8)[~covered].tobytes()
+        out[i] = (left, int(covered.sum()), int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum()))
+    return out
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
@@ -318,12 +350,13 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     masks = scratch.save(removed_windows(sound, tokens, length))
     scratch.drop(tokens)
     _free(df.sparkSession)
-    per = masks.groupBy("doc", "tid").agg(F.collect_list(F.struct("ord", "mask")).alias("masks")).select(F.col("doc").alias("_d"), F.col("tid").alias("_t"), "masks")
-    whole = rows.join(per, (F.col("doc") == F.col("_d")) & (F.col("tid") == F.col("_t")), "left").select("doc", "masks", "text")
+    per = masks.groupBy("doc", "tid").agg(F.collect_list(F.struct("ord", "mask")).alias("m")).select(F.col("doc").alias("_d"), F.col("tid").alias("_t"), F.col("m.ord").alias("ords"), F.col("m.mask").alias("masks"))
+    whole = rows.join(per, (F.col("doc") == F.col("_d")) & (F.col("tid") == F.col("_t")), "left").select("doc", "ords", "masks", "text")
 
     def cut(batches):
         for part, texts in _slices(batches):
-            got = [cut_text(t, {m["ord"]: m["mask"] for m in ms or ()}, length) for t, ms in zip(texts, part.column(1).to_pylist())]
+            ords, masks = (part.column(i).to_pylist() for i in (1, 2))
+            got = cut_texts(texts, [dict(zip(o, m)) if o else {} for o, m in zip(ords, masks)], length)
             cols = [part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([g[0] for g in got], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, [key, "n_bytes", "n_removed", "n_spans", "kept"])
 
