@@ -22,6 +22,7 @@ Null texts are empty. A null id neither removes nor loses anything. Rows with eq
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -163,8 +164,8 @@ def removed_windows(rows: DataFrame, tokens: DataFrame, length: int) -> DataFram
     cuts = np.array([int(x) for x in splitters(rows, length, buckets)], np.int64)
     per = tokens.groupBy("doc").agg(F.collect_set("h").alias("hs")).select(F.col("doc").alias("_d"), "hs")
     found = rows.join(per, F.col("doc") == F.col("_d")).select("doc", "tid", "hs", "text").sortWithinPartitions("doc")
-    names = ["part", "lead", "tail", "doc", "tid", "ord", "off", "seg", "mask"]
-    schema = "part int, lead long, tail long, doc long, tid long, ord int, off int, seg binary, mask long"
+    names = ["part", "doc", "tid", "ord", "off", "seg", "mask"]
+    schema = "part int, doc long, tid int, ord int, off int, seg binary, mask long"
 
 
     def emit(batches):
@@ -188,9 +189,7 @@ def removed_windows(rows: DataFrame, tokens: DataFrame, length: int) -> DataFram
                     size += len(seg) + 200
                 elif before != own:
                     state[i] = 2 if before[0] < own[0] else 1
-            w = _words(buf)
-            lead = (w[a] ^ np.uint64(1 << 63)).view(np.int64)
-            tail = (w[a + 8] ^ np.uint64(1 << 63)).view(np.int64)
+            lead = (_words(buf)[a] ^ np.uint64(1 << 63)).view(np.int64)
             for code in (1, 2):
                 at = np.flatnonzero(state == code)
                 if len(at):
@@ -198,7 +197,7 @@ def removed_windows(rows: DataFrame, tokens: DataFrame, length: int) -> DataFram
                     zero = np.zeros(len(at), np.int64)
                     where = np.searchsorted(cuts, lead[at], "right") if send else d[at] % max(1, buckets)
                     mask = zero if send else (np.int64(1) << (s2 - s1 + 1)[at]) - 1
-                    cols = [pa.array(where, pa.int32()), pa.array(lead[at] if send else zero), pa.array(tail[at] if send else zero), pa.array(d[at]), pa.array(t[at]), pa.array(order[at], pa.int32()), pa.array((a - s1)[at], pa.int32())]
+                    cols = [pa.array(where, pa.int32()), pa.array(d[at]), pa.array(t[at], pa.int32()), pa.array(order[at], pa.int32()), pa.array((a - s1)[at], pa.int32())]
                     yield pa.RecordBatch.from_arrays([*cols, pa.array([segs[i] for i in at.tolist()] if send else [None] * len(at), pa.binary()), pa.array(mask)], names)
             if size > 96 << 20:
                 seen.clear()
@@ -208,40 +207,42 @@ def removed_windows(rows: DataFrame, tokens: DataFrame, length: int) -> DataFram
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            ready = batch.filter(pa.compute.is_null(batch.column(7)))
+            ready = batch.filter(pa.compute.is_null(batch.column(5)))
             if ready.num_rows:
                 yield ready.select(["doc", "tid", "ord", "mask"])
-            batch = batch.filter(pa.compute.is_valid(batch.column(7)))
+            batch = batch.filter(pa.compute.is_valid(batch.column(5)))
             if not batch.num_rows:
                 continue
-            if size > 60_000:
-                # cut at the last change of token
-                k = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], 1)
-                p = held[-1]
-                same = np.flatnonzero((k != np.array([p.column(1)[-1].as_py(), p.column(2)[-1].as_py()])).any(1))
-                cut = int(same[0]) if len(same) else batch.num_rows
+            if size > 60_000:  # cut at the last change of token
+                new = np.flatnonzero((_tokens(batch) != _tokens(held[-1].slice(held[-1].num_rows - 1))).any(1))
+                cut = int(new[0]) if len(new) else batch.num_rows
                 if cut:
                     held.append(batch.slice(0, cut))
-                if cut < batch.num_rows:
-                    yield from decide(held, length)
-                    held, size, batch = [], 0, batch.slice(cut)
-                else:
+                if cut == batch.num_rows:
                     continue
+                yield from decide(held, length)
+                held, size, batch = [], 0, batch.slice(cut)
             held.append(batch)
             size += batch.num_rows
         if held:
             yield from decide(held, length)
 
-    dealt = found.mapInArrow(emit, schema).repartitionById(max(1, buckets), "part").sortWithinPartitions("lead", "tail")
-    return dealt.mapInArrow(settle, "doc long, tid long, ord int, mask long")
+    dealt = found.mapInArrow(emit, schema).repartitionById(max(1, buckets), "part").sortWithinPartitions(F.expr(f"substring(seg, off + 1, {TOKEN})"))
+    return dealt.mapInArrow(settle, "doc long, tid int, ord int, mask long")
+
+
+def _tokens(batch) -> np.ndarray:
+    """The leading tokens of a bucket's rows, two words each."""
+    pairs = zip(batch.column(5).to_pylist(), batch.column(4).to_pylist())
+    return np.frombuffer(b"".join([s[o : o + TOKEN] for s, o in pairs]), ">u8").reshape(-1, TOKEN // 8)
 
 
 def decide(held: list[pa.RecordBatch], length: int):
     """The masks of a bucket's rows, in order of their tokens."""
     t = pa.Table.from_batches(held).combine_chunks()
-    lead, tail, doc = (t.column(i).to_numpy() for i in (1, 2, 3))
-    off = t.column(6).to_numpy().astype(np.int64)
-    segs = t.column(7).to_pylist()
+    doc, token = t.column(1).to_numpy(), _tokens(t)
+    off = t.column(4).to_numpy().astype(np.int64)
+    segs = t.column(5).to_pylist()
     # of equal stretches only the smallest document's is sorted; in the others all windows are repeated
     first: dict[bytes, int] = {}
     for i in np.argsort(doc, kind="stable").tolist():
@@ -249,7 +250,7 @@ def decide(held: list[pa.RecordBatch], length: int):
     size = np.array([len(x) for x in segs], np.int64)
     head = np.array([first[x] for x in segs])
     bit = np.where(doc[head] < doc, (np.int64(1) << (size - length + 1)) - 1, 0)
-    run = np.concatenate([[0], np.cumsum((lead[1:] != lead[:-1]) | (tail[1:] != tail[:-1]))])
+    run = np.concatenate([[0], np.cumsum((token[1:] != token[:-1]).any(1))])
     own = np.flatnonzero(head == np.arange(len(segs)))
     own = own[np.bincount(run[own], minlength=run[-1] + 1)[run[own]] > 1]  # tokens with one stretch are settled
     if len(own):
@@ -265,7 +266,7 @@ def decide(held: list[pa.RecordBatch], length: int):
         bit |= np.where(doc[head] == doc, bit[head], 0)
     hit = np.flatnonzero(bit)
     if len(hit):
-        yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(t.column(4).to_numpy()[hit]), pa.array(t.column(5).to_numpy()[hit]), pa.array(bit[hit])], ["doc", "tid", "ord", "mask"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(t.column(2).to_numpy()[hit]), pa.array(t.column(3).to_numpy()[hit]), pa.array(bit[hit])], ["doc", "tid", "ord", "mask"])
 
 
 def repeated(label: np.ndarray, start: np.ndarray, words: np.ndarray, length: int, doc: np.ndarray) -> np.ndarray:
@@ -343,7 +344,7 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     if not TOKEN + 7 < length <= TOKEN + 62:
         raise ValueError("length must be 24 to 78 bytes")
     scratch = Scratch(df.sparkSession, "suffix")
-    rows = df.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tid"), F.col(text).alias("text"))
+    rows = df.select(F.col(key).cast("long").alias("doc"), F.hash(F.coalesce(text, F.lit(""))).alias("tid"), F.col(text).alias("text"))
     sound = rows.where("doc IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text") >= length)
     tokens = repeated_tokens(sound, scratch, length)
     _free(df.sparkSession)
@@ -365,8 +366,10 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", length:
 
 def _free(spark) -> None:
     """Lets the shuffle files of finished steps go before the next ones are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # a dependency goes in one collection, its files after the next
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def digest(df: DataFrame, key: str = "doc_id") -> DataFrame:
