@@ -9,7 +9,7 @@ from ..functions.arrays import safe
 
 
 def moments(samples: DataFrame, value: str = "v") -> DataFrame:
-    """Mean, variances, and skewness and kurtosis over n with the sample deviation, as the reference states them."""
+    """Mean, variances, and skewness and kurtosis that divide by n and by powers of the sample deviation."""
     n, v = F.count(value), F.col(value)
     s = samples.groupBy("signal_id").agg(n.alias("n"), F.avg(v).alias("mean"), F.coalesce(F.var_samp(v), F.lit(0.0)).alias("variance"), F.skewness(v).alias("sk"), F.kurtosis(v).alias("ku"), F.min(v).alias("low"), F.max(v).alias("high"))
     r = (F.col("n") - 1) / F.col("n")
