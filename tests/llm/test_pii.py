@@ -41,3 +41,15 @@ def test_documents(spark, sf_dir):
         for x, y in zip(was, now):
             assert pairs.setdefault(x, y) == y and x != y
     assert len(pairs) > 5 and len(set(pairs.values())) == len(pairs)
+
+
+def test_short_entities_always_change_and_stay_distinct(spark):
+    rows = [(i, f"Dr {a}{b} wrote to {a}{b}@x.de from 10.0.{i % 256}.1") for i, (a, b) in enumerate((a, b) for a in "BCDFGHKLMŁ" for b in "aeiouśt")]
+    rows += [(900, "password: ********"), (901, "Mr Jobn, Mr Jane, Mr Li")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii.collisions(df, "wavelens") == 0
+    got = {r.doc_id: r.text for r in pii.replace(df).collect()}
+    assert got[900] == rows[-2][1]
+    names = [(was.split()[1], got[i].split()[1]) for i, was in rows[:-2]]
+    assert all(a != b for a, b in names) and len({b for _, b in names}) == len(names)
+    assert got[901].split()[1].rstrip(",") not in pii.MALE_NAMES + pii.FEMALE_NAMES

@@ -5,15 +5,15 @@ secrets, and names after a title. Each is replaced where it stands; all other te
 
 A surrogate is a keyed, format-preserving permutation of its entity. Character i is shifted within its own alphabet
 (digits, lower or upper letters of one script) by a keyed hash of the characters before it, then, in a second pass, by a
-keyed hash of the shifted characters after it. Both passes can be undone with the key, so within a kind distinct entities
-get distinct surrogates and one entity gets one surrogate everywhere; hashes ignore case, so spellings that differ in case
-stay related. Separators, the phone's country code, the top-level domain and a card's distance to its check digit stay;
-octets stay octets. A known given name becomes another of the same gender by a keyed rotation of the list; other name parts
-change vowels to vowels and consonants to consonants.
+keyed hash of the shifted characters after it; every character moves one step, and both passes are undone. So within a kind
+distinct entities get distinct surrogates, none is its own, and one entity gets one surrogate everywhere; hashes ignore
+case, so spellings that differ in case stay related. Separators, the phone's country code, the top-level domain and a card's
+distance to its check digit stay; octets stay octets. A known given name becomes another of the same gender by a keyed
+rotation of the list; other name parts change vowels to vowels and consonants to consonants and never become a listed name.
 
 Before use, the distinct entities of the whole corpus are checked: if two of a kind share a surrogate, or one is its own
-surrogate, the key is tweaked and the check repeated. No table of entities is needed to replace them, so texts are not
-shuffled and a frequent entity costs no more than a rare one.
+surrogate, the key is tweaked and the check repeated; if no key passes, that is an error. No table of entities is needed to
+replace them, so texts are not shuffled and a frequent entity costs no more than a rare one.
 
 Null texts stay null, with zero counts. Rows are independent: repeated rows give repeated results.
 """
@@ -47,6 +47,9 @@ PATTERNS = {
     "secret": r"(?<=(?:token|secret|password|passwd|api[_-]?key)[\x22']?\s{0,2}[:=]\s{0,2}[\x22']?)[^\s\x22']{8,256}|(?<![\p{L}\p{N}])[0-9a-f]{32,128}(?![\p{L}\p{N}])",
 }
 ENTITY = "|".join(PATTERNS.values())
+#: Most rounds in which a name leaves the lists; each has a chance of about one in a thousand for short names, less for longer.
+WALK = 4
+LETTER = r"[\p{L}\p{N}]"
 #: No entity is in a text without one of these.
 _HINT = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}|(?:token|secret|password|passwd|key)"
 
@@ -55,9 +58,9 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _shift(c: str, k: str, alphabets: tuple[str, ...]) -> str:
-    """SQL: the character k places on in its own alphabet; characters of no alphabet stay."""
-    cases = " ".join(f"WHEN instr({_sql(a)}, {c}) > 0 THEN substr({_sql(a)}, int((instr({_sql(a)}, {c}) - 1 + {k}) % {len(a)}) + 1, 1)" for a in alphabets)
+def _shift(c: str, k: str, alphabets: tuple[str, ...], sign: str = "+") -> str:
+    """SQL: the character k places on (or back) in its own alphabet; characters of no alphabet stay."""
+    cases = " ".join(f"WHEN instr({_sql(a)}, {c}) > 0 THEN substr({_sql(a)}, int(pmod(instr({_sql(a)}, {c}) - 1 {sign} {k}, {len(a)})) + 1, 1)" for a in alphabets)
     return f"CASE {cases} ELSE {c} END"
 
 
@@ -66,11 +69,22 @@ def _hash(key: str, context: str) -> str:
     return f"cast(conv(substr(sha2(concat({_sql(key)}, lower({context})), 256), 1, 8), 16, 10) AS bigint)"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: the body with a name bound to a string value."""
+    return f"aggregate(array({value}), '', (_z, {name}) -> {body})"
+
+
 def _permute(e: str, key: str, alphabets: tuple[str, ...]) -> str:
-    """SQL: the two passes over the characters of ``e``."""
+    """SQL: both passes, one step on in every alphabet, and both passes undone.
+
+    A step moves every string that has a character of an alphabet, and so does the same step seen through a permutation.
+    """
     ahead = f"aggregate(sequence(1, greatest(length({e}), 1)), '', (acc, i) -> concat(acc, {_shift(f'substr({e}, i, 1)', _hash(key + '>', f'substr({e}, 1, i - 1)'), alphabets)}))"
     back = f"aggregate(sequence(length(s), 1, -1), '', (acc, i) -> concat({_shift('substr(s, i, 1)', _hash(key + '<', 'acc'), alphabets)}, acc))"
-    return f"aggregate(array({ahead}), '', (z, s) -> if(s = '', '', {back}))"
+    step = f"array_join(transform(sequence(1, length(t)), i -> {_shift('substr(t, i, 1)', '1', alphabets)}), '')"
+    unback = f"array_join(transform(sequence(1, length(u)), i -> {_shift('substr(u, i, 1)', _hash(key + '<', 'substr(u, i + 1)'), alphabets, '-')}), '')"
+    unahead = f"aggregate(sequence(1, length(v)), '', (acc, i) -> concat(acc, {_shift('substr(v, i, 1)', _hash(key + '>', 'acc'), alphabets, '-')}))"
+    return _let(ahead, "s", f"if(s = '', '', {_let(back, 't', _let(step, 'u', _let(unback, 'v', unahead)))})")
 
 
 def _luhn(digits: str) -> str:
@@ -87,11 +101,16 @@ def _card(e: str, key: str) -> str:
 
 
 def _ip(e: str, key: str) -> str:
-    """SQL: the two passes over octets."""
+    """SQL: the same over octets."""
+    none = "cast(array() AS array<int>)"
+    joined = lambda x: f"array_join({x}, '.')"
     parts = f"transform(split({e}, '[.]'), o -> int(o))"
-    ahead = f"aggregate(sequence(1, 4), array(), (acc, i) -> concat(acc, array(int(({parts}[i - 1] + {_hash(key + '>', f'array_join(slice({parts}, 1, i - 1), chr(46))')}) % 256))))".replace("array(), (acc", "cast(array() AS array<int>), (acc")
-    back = f"aggregate(sequence(4, 1, -1), cast(array() AS array<int>), (acc, i) -> concat(array(int((s[i - 1] + {_hash(key + '<', 'array_join(acc, chr(46))')}) % 256)), acc))"
-    return f"aggregate(array({ahead}), '', (z, s) -> array_join({back}, '.'))"
+    ahead = f"aggregate(sequence(1, 4), {none}, (acc, i) -> concat(acc, array(int(({parts}[i - 1] + {_hash(key + '>', joined(f'slice({parts}, 1, i - 1)'))}) % 256))))"
+    back = f"aggregate(sequence(4, 1, -1), {none}, (acc, i) -> concat(array(int((s[i - 1] + {_hash(key + '<', joined('acc'))}) % 256)), acc))"
+    step = "transform(t, x -> (x + 1) % 256)"
+    unback = f"transform(sequence(1, 4), i -> int(pmod(u[i - 1] - {_hash(key + '<', joined('slice(u, i + 1, 4 - i)'))}, 256)))"
+    unahead = f"aggregate(sequence(1, 4), {none}, (acc, i) -> concat(acc, array(int(pmod(v[i - 1] - {_hash(key + '>', joined('acc'))}, 256)))))"
+    return _let(ahead, "s", _let(back, "t", _let(step, "u", _let(unback, "v", joined(unahead)))))
 
 
 def _name(e: str, key: str) -> str:
@@ -100,7 +119,10 @@ def _name(e: str, key: str) -> str:
     for names in (MALE_NAMES, FEMALE_NAMES):
         listed = f"array({', '.join(map(_sql, names))})"
         given.append(f"WHEN array_contains({listed}, w) THEN {listed}[int((array_position({listed}, w) - 1 + 1 + {_hash(key + 'given', _sql(''))} % {len(names) - 1}) % {len(names)})]")
-    part = f"CASE {' '.join(given)} ELSE {_permute('w', key, NAME_ALPHABETS)} END"
+    listed = f"array({', '.join(map(_sql, MALE_NAMES + FEMALE_NAMES))})"
+    # names outside the lists stay outside: the permutation goes on until it leaves the lists
+    other = f"aggregate(sequence(1, {WALK}), w, (x, n) -> if(n = 1 OR array_contains({listed}, x), {_permute('x', key, NAME_ALPHABETS)}, x))"
+    part = f"CASE {' '.join(given)} ELSE {other} END"
     return f"concat_ws(' ', split({e}, ' ')[0], array_join(transform(slice(split({e}, ' '), 2, 2), w -> {part}), ' '))"
 
 
@@ -114,16 +136,19 @@ def kind_sql(e: str) -> str:
 
 
 def surrogate_sql(e: str, key: str) -> str:
-    """SQL: the surrogate of a found entity."""
+    """SQL: the surrogate of a found entity. Letters of no alphabet alone give keyed letters in the entity's format."""
     k = lambda kind: f"{key}/{kind}/"
     dot = f"(length({e}) - instr(reverse({e}), '.'))"
     phone = f"regexp_extract({e}, '^([+][0-9]{{1,3}}[ .-]|[+][0-9]|)(.*)$', %d)"
-    return (
+    made = (
         f"CASE {kind_sql(e)} WHEN 'email' THEN concat({_permute(f'substr({e}, 1, {dot})', k('email'), ALPHABETS)}, substr({e}, {dot} + 1)) "
         f"WHEN 'phone' THEN concat({phone % 1}, {_permute(phone % 2, k('phone'), ALPHABETS[:1])}) WHEN 'ip' THEN {_ip(e, k('ip'))} WHEN 'card' THEN {_card(e, k('card'))} "
         f"WHEN 'ssn' THEN {_permute(e, k('ssn'), ALPHABETS[:1])} WHEN 'account' THEN concat(substr({e}, 1, 2), {_permute(f'substr({e}, 3)', k('account'), ALPHABETS)}) "
         f"WHEN 'name' THEN {_name(e, k('name'))} WHEN 'secret' THEN {_permute(e, k('secret'), HEX_ALPHABETS)} END"
     )
+    letters = f"translate(substr(sha2(concat({_sql(key)}, {e}), 256), 1, 24), '0123456789abcdef', 'ghijklmnopqrstuv')"
+    plain = f"CASE {kind_sql(e)} WHEN 'email' THEN concat(substr({letters}, 1, 12), '@', substr({letters}, 13), substr({e}, {dot} + 1)) WHEN 'name' THEN concat(split({e}, ' ')[0], ' ', initcap({letters})) ELSE {letters} END"
+    return _let(made, "_m", f"if(_m <> {e} OR NOT {e} RLIKE {_sql(LETTER)}, _m, {plain})")
 
 
 def entities(text: str = "text") -> F.Column:
@@ -135,11 +160,11 @@ def entities(text: str = "text") -> F.Column:
 def collisions(df: DataFrame, key: str, text: str = "text") -> int:
     """Number of surrogates that two entities of a kind share or that equal their entity, over all rows of the frame.
 
-    Characters outside every alphabet cannot change, so an entity without any digit or letter of one does not count.
+    An entity without any letter or digit stays as it is and does not count.
     """
     found = df.select(F.explode(entities(text)).alias("e")).groupBy("e").agg(F.lit(1).alias("one"))
     made = found.select("e", F.expr(surrogate_sql("e", key)).alias("s"))
-    return made.groupBy("s").agg(F.count("*").alias("n"), F.max(F.col("e") == F.col("s")).alias("same")).where("n > 1 OR same").count()
+    return made.groupBy("s").agg(F.count("*").alias("n"), F.max((F.col("e") == F.col("s")) & F.col("e").rlike(LETTER)).alias("same")).where("n > 1 OR same").count()
 
 
 def replace(df: DataFrame, key: str = "wavelens", text: str = "text", attempts: int = 4) -> DataFrame:
@@ -148,6 +173,8 @@ def replace(df: DataFrame, key: str = "wavelens", text: str = "text", attempts:
         tweaked = key if not attempt else f"{key}#{attempt}"
         if not collisions(df, tweaked, text):
             break
+    else:
+        raise ValueError(f"surrogates still collide after {attempts} keys")
     e = entities(text)
     t = f"coalesce(`{text}`, '')"
     parts = F.expr(f"if({t} RLIKE {_sql(_HINT)}, split({t}, {_sql(ENTITY)}, -1), array({t}))")
