@@ -54,3 +54,36 @@ def tonnetz_point(pc: int) -> tuple[float, float]:
     """Place of a pitch class: fifths along x from -5 to 6, major-third rows along y."""
     fifths = pc * 7 % 12
     return (fifths if fifths <= 6 else fifths - 12), (0.0, math.sqrt(3), -math.sqrt(3) / 2, math.sqrt(3) / 2)[pc % 4]
+
+
+def tonnetz(chromas: DataFrame) -> DataFrame:
+    """(signal_id, x, y): centre of the chroma's weight on the tone network."""
+    points = [tonnetz_point(pc) for pc in range(12)]
+    lit = lambda axis: F.array(*(F.lit(float(p[axis])) for p in points))
+    return chromas.select("signal_id", dot("chroma", lit(0)).alias("x"), dot("chroma", lit(1)).alias("y"))
+
+
+def chroma_statistics(chromas: DataFrame) -> DataFrame:
+    """(signal_id, dominant, strength, entropy, tension): largest pitch class, its share, entropy in bits, and the sum of
+    products at intervals 1, 6 and 11 of shares above 0.2, at most 1."""
+    c = F.col("chroma")
+    entropy = -sum(F.when(c[i] > 0, c[i] * F.log2(c[i])).otherwise(0.0) for i in range(12))
+    tension = sum(F.when((c[i] > 0.2) & (c[(i + d) % 12] > 0.2), c[i] * c[(i + d) % 12]).otherwise(0.0) for i in range(12) for d in (1, 6, 11))
+    top = F.array_max(F.array(*(F.struct(F.round(c[i], 9).alias("e"), F.lit(-i).alias("k")) for i in range(12))))
+    return chromas.select("signal_id", (-top["k"]).alias("dominant"), top["e"].alias("strength"), entropy.alias("entropy"), F.least(tension, F.lit(1.0)).alias("tension"))
+
+
+def related_keys(key: int, mode: str) -> dict[str, tuple[int, str]]:
+    """Relative, parallel, dominant and subdominant keys."""
+    other = "minor" if mode == "major" else "major"
+    return {"relative": ((key + (-3 if mode == "major" else 3)) % 12, other), "parallel": (key, other), "dominant": ((key + 7) % 12, mode), "subdominant": ((key - 7) % 12, mode)}
+
+
+def key_distance(a: tuple[int, str], b: tuple[int, str]) -> int:
+    """0 for the same or parallel key, 1 for a near relation, else semitones the shorter way round."""
+    if a == b or b == related_keys(*a)["parallel"]:
+        return 0
+    if b in related_keys(*a).values():
+        return 1
+    d = (a[0] - b[0]) % 12
+    return min(d, 12 - d)

@@ -365,3 +365,6 @@ def dtw_alignment(spark, d):
 @query("stft_magnitudes")
 def stft_magnitudes(spark, d):
     return spectrum.stft(tables.signals(spark, d), WIDTH, HOP)
+
+
+from . import extended  # noqa: E402,F401  registers its queries here
