@@ -164,19 +164,20 @@ class Scorer:
         self.hits: dict[str, list[tuple[int, float]]] = {}
 
     def features(self, texts: list[str]) -> np.ndarray:
-        per = [strings(t) for t in texts]
-        if len(self.seen) > self.SEEN:
-            self.seen.clear(), self.hits.clear()
-        new = set().union(*per) - self.seen
-        self.seen |= new
-        if new and len(self.model.landmarks):
-            self.hits.update(self.marks.compare(sorted(new)))
         x = np.zeros((len(texts), len(self.model.landmarks)))
-        for i, found in enumerate(per):
-            for w in self.hits.keys() & found:
-                for j, v in self.hits[w]:
-                    if v > x[i, j]:
-                        x[i, j] = v
+        for at in range(0, len(texts), 256):  # the strings of all texts at once would not be small
+            per = [strings(t) for t in texts[at : at + 256]]
+            if len(self.seen) > self.SEEN:
+                self.seen.clear(), self.hits.clear()
+            new = set().union(*per) - self.seen
+            self.seen |= new
+            if new and len(self.model.landmarks):
+                self.hits.update(self.marks.compare(sorted(new)))
+            for i, found in enumerate(per, at):
+                for w in self.hits.keys() & found:
+                    for j, v in self.hits[w]:
+                        if v > x[i, j]:
+                            x[i, j] = v
         return x
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -188,17 +189,22 @@ class Scorer:
 def choose_landmarks(texts: list[str], labels: np.ndarray, most: int) -> list[str]:
     """Strings, or beginnings of strings, whose presence tells the labels apart best, by a smoothed log ratio weighted with
     their count; of those that begin alike only the best."""
-    count = (Counter(), Counter())
-    for t, y in zip(texts, labels.tolist()):
-        found = strings(t)
-        count[y].update({s for s in found if 4 <= len(s) <= 16} | {s[:k] for s in found for k in (6, 7) if len(s) > k + 1})
+    parts = lambda found: {s for s in found if 4 <= len(s) <= 16} | {s[:k] for s in found for k in (6, 7) if len(s) > k + 1}
     n0, n1 = max(1, int((labels == 0).sum())), max(1, int((labels == 1).sum()))
     least = 2 if n1 < 100 else 3 if n1 < 300 else 4
+    count = (Counter(), Counter())
+    for t, y in zip(texts, labels.tolist()):
+        if y:
+            count[1].update(parts(strings(t)))
+    kept = {w for w, a in count[1].items() if a >= least}
+    for t, y in zip(texts, labels.tolist()):
+        if not y:
+            count[0].update(parts(strings(t)) & kept)
     rated = []
-    for w, a in count[1].items():
-        b = count[0][w]
+    for w in kept:
+        a, b = count[1][w], count[0][w]
         ratio = math.log((a + 0.1) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
-        if a >= least and ratio > 1.2:
+        if ratio > 1.2:
             rated.append((-ratio * math.sqrt(a), -len(w), w))
     chosen: list[str] = []
     for _, _, w in sorted(rated):
@@ -245,6 +251,7 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 96) -> Model:
     if rate in (0.0, 1.0) or not (marks := choose_landmarks(texts, y, landmarks)):
         return Model([], np.zeros(0), 0.0, 1.0, -30.0 if rate == 0 else math.log(rate / (1 - rate)) if rate < 1 else 30.0)
     scorer = Scorer(Model(marks, np.zeros(len(marks)), 0.0, 1.0, 0.0))
+    scorer.SEEN = 1 << 17
     x = scorer.features(texts)
     own = scorer.marks
     i, j = np.divmod(np.arange(len(marks) ** 2), len(marks))
