@@ -51,3 +51,16 @@ def test_edges(spark):
     assert suffix.deduplicate(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         suffix.deduplicate(df, length=10)
+
+
+def test_text_over_16_mib_that_repeats_a_passage_at_its_end(spark):
+    rng = random.Random(2)
+    passage = "".join(rng.choices("abcdefgh ", k=400))
+    filler = rng.randbytes((1 << 23) + 3000).hex()  # no 50 bytes of it are in the passage
+    texts = [passage, filler + passage + filler[:5000], filler[-300:] + passage[:100]]
+    buf, begin, doc, s1, s2, a, _ = suffix.segments([t.encode() for t in texts], 50)
+    assert ((a >= s2) & (a <= s1 + 50 - suffix.TOKEN)).all() and (s2[:-1] + 1 == s1[1:])[doc[:-1] == doc[1:]].all()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    out = {r.doc_id: r for r in suffix.deduplicate(df).collect()}
+    assert [(r.n_removed, r.n_spans) for r in (out[0], out[1], out[2])] == [(0, 0), (400, 1), (400, 1)]
+    assert bytes(out[1].kept) == (filler + filler[:5000]).encode() and bytes(out[2].kept) == b""

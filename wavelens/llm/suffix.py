@@ -34,6 +34,8 @@ from .common import Scratch, text_slices
 
 TOKEN = 16
 _POS = np.uint64((1 << 24) - 1)
+#: Windows whose leading tokens are sought at a time; with the bytes of the last one fewer than ``_POS``.
+PIECE = 1 << 23
 
 
 def _words(buf: bytes) -> np.ndarray:
@@ -47,9 +49,42 @@ def segments(texts: list[bytes], length: int):
     buf = b"".join(texts)
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes)])
+    counts = np.maximum(sizes - length + 1, 0)
     none = np.zeros(0, np.int64)
-    if not len(buf):
+    if not counts.sum():
         return buf, begin, none, none, none, none, none.astype(np.uint64)
+    found = []
+    for lo in range(0, len(buf), PIECE):
+        s, doc = _windows(begin, counts, lo, lo + PIECE)
+        if not len(s):
+            continue
+        h = _token_hashes(buf[lo : lo + PIECE + length - 1])
+        a = _leading(h, length - TOKEN + 1)[s - lo]
+        first = _heads(a, doc)
+        last = np.concatenate([first[1:], [len(s)]]) - 1
+        found.append((doc[first], s[first], s[last], a[first] + lo, h[a[first]]))
+    doc, s1, s2, a, h = (np.concatenate(x) for x in zip(*found))
+    first = _heads(a, doc)  # a stretch may go on in the next piece
+    last = np.concatenate([first[1:], [len(a)]]) - 1
+    return buf, begin, doc[first], s1[first], s2[last], a[first], h[first]
+
+
+def _windows(begin: np.ndarray, counts: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows that start in bytes lo to hi - 1 of the joined texts, and their texts."""
+    from_, to = (np.searchsorted(begin, x, side) for x, side in ((lo, "right"), (hi, "left")))
+    at = np.arange(from_ - 1, min(to, len(counts)))
+    first = np.maximum(begin[at], lo)
+    n = np.maximum(np.minimum(begin[at] + counts[at], hi) - first, 0)
+    s = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    return s, np.repeat(at, n)
+
+
+def _heads(a: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])]))
+
+
+def _token_hashes(buf: bytes) -> np.ndarray:
+    """A hash of the sixteen bytes from each position on."""
     w = _words(buf)
     tail = np.zeros_like(w)
     tail[:-8] = w[8:]
@@ -58,22 +93,19 @@ def segments(texts: list[bytes], length: int):
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
+    return h
+
+
+def _leading(h: np.ndarray, span: int) -> np.ndarray:
+    """Position of the smallest of the span hashes from each position on, the leftmost of equals; for fewer than 2^24 hashes."""
     m = (h & ~_POS) | np.arange(len(h), dtype=np.uint64)
-    span, reach = length - TOKEN + 1, 1
+    reach = 1
     while reach * 2 <= span:
         m[:-reach] = np.minimum(m[:-reach], m[reach:])
         reach *= 2
     if span > reach:
         m[: -(span - reach)] = np.minimum(m[: -(span - reach)], m[span - reach :])
-    doc = np.repeat(np.arange(len(texts)), np.maximum(sizes - length + 1, 0))
-    if not len(doc):
-        return buf, begin, none, none, none, none, none.astype(np.uint64)
-    counts = np.maximum(sizes - length + 1, 0)
-    s = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts) + begin[doc]
-    a = (m[s] & _POS).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])]))
-    last = np.concatenate([first[1:], [len(s)]]) - 1
-    return buf, begin, doc[first], s[first], s[last], a[first], h[a[first]]
+    return (m & _POS).astype(np.int64)
 
 
 def _slices(batches, budget=1 << 22):
