@@ -53,3 +53,23 @@ def test_short_entities_always_change_and_stay_distinct(spark):
     names = [(was.split()[1], got[i].split()[1]) for i, was in rows[:-2]]
     assert all(a != b for a, b in names) and len({b for _, b in names}) == len(names)
     assert got[901].split()[1].rstrip(",") not in pii.MALE_NAMES + pii.FEMALE_NAMES
+
+
+def test_secrets_in_any_case(spark, sf_dir):
+    low = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    rows = [
+        (1, f'TOKEN = "{low.upper()}"'), (2, f"see {low.upper()} there"), (3, f"see {low} there"), (4, "Password: hunter2hunter2"), (5, "API_KEY=Zz9-Qk/ghXY+12=="),
+        (6, "ab" * 16), (7, "A" * 32), (8, "token: " + "g" * 8), (9, "token: " + "a" * 8), (10, f"mixed {low[:20]}{low[20:].upper()}"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii.collisions(df, "wavelens") == 0
+    got = {r.doc_id: r for r in pii.replace(df).collect()}
+    assert all(got[i].n_secret == 1 and got[i].text != was for i, was in rows)
+    m = re.fullmatch(r'TOKEN = "([0-9A-F]{40})"', got[1].text)
+    assert m and got[2].text == f"see {m[1]} there" and got[3].text == f"see {m[1].lower()} there"
+    assert re.fullmatch(r"Password: [a-z]{6}\d[a-z]{6}\d", got[4].text) and re.fullmatch(r"API_KEY=[A-Z][a-z]\d-[A-Z][a-z]/[a-z]{2}[A-Z]{2}\+\d\d==", got[5].text)
+    assert re.fullmatch(r"mixed (?=.*[a-f])(?=.*[A-F])[0-9a-f]{20}[0-9A-F]{20}", got[10].text)
+    docs = table(spark, sf_dir.replace("sf0.001", "sf0.1"), "documents").where("doc_id IN (2514, 8743)")
+    was, now = ([r.text for r in f.orderBy("doc_id").collect()] for f in (docs, pii.replace(docs)))
+    found = [x for t in was for x in re.findall(r"\b[0-9A-F]{40}\b", t)]
+    assert len(found) == 10 and not any(x in t for x in found for t in now)

@@ -32,7 +32,8 @@ MALE_NAMES = ("Adam", "Carlos", "David", "Hans", "James", "Jean", "John", "Juan"
 FEMALE_NAMES = ("Alice", "Anna", "Carmen", "Claire", "Elena", "Emma", "Greta", "Helen", "Jane", "Julia", "Laura", "Linda", "Maria", "Marie", "Mary", "Sarah", "Sophie", "Susan")
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 NAME_ALPHABETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", *ALPHABETS[3:])
-HEX_ALPHABETS = ("0123456789abcdef", "ABCDEF", *ALPHABETS[1:])
+#: Disjoint, so that a shift can be undone: hexadecimal letters stay such, in their case.
+HEX_ALPHABETS = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", *ALPHABETS[3:])
 
 _TITLE = "|".join(MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES)
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -44,14 +45,14 @@ PATTERNS = {
     "card": r"(?<![\p{L}\p{N}.])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
     "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'-]{{1,40}})?",
-    "secret": r"(?<=(?:token|secret|password|passwd|api[_-]?key)[\x22']?\s{0,2}[:=]\s{0,2}[\x22']?)[^\s\x22']{8,256}|(?<![\p{L}\p{N}])[0-9a-f]{32,128}(?![\p{L}\p{N}])",
+    "secret": r"(?<=(?i:token|secret|password|passwd|api[_-]?key)[\x22']?\s{0,2}[:=]\s{0,2}[\x22']?)[^\s\x22']{8,256}|(?<![\p{L}\p{N}])[0-9a-fA-F]{32,128}(?![\p{L}\p{N}])",
 }
 ENTITY = "|".join(PATTERNS.values())
 #: Most rounds in which a name leaves the lists; each has a chance of about one in a thousand for short names, less for longer.
 WALK = 4
 LETTER = r"[\p{L}\p{N}]"
 #: No entity is in a text without one of these.
-_HINT = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}|(?:token|secret|password|passwd|key)"
+_HINT = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}|(?i:token|secret|password|passwd|key)|[a-fA-F]{{32}}"
 
 
 def _sql(text: str) -> str:
