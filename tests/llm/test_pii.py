@@ -1,3 +1,4 @@
+import random
 import re
 
 from wavelens.llm import pii
@@ -73,3 +74,26 @@ def test_secrets_in_any_case(spark, sf_dir):
     was, now = ([r.text for r in f.orderBy("doc_id").collect()] for f in (docs, pii.replace(docs)))
     found = [x for t in was for x in re.findall(r"\b[0-9A-F]{40}\b", t)]
     assert len(found) == 10 and not any(x in t for x in found for t in now)
+
+
+def test_secrets_of_any_length_leave_no_tail(spark):
+    rng = random.Random(4)
+    hexes = ["".join(rng.choices("0123456789abcdef", k=k)) for k in (129, 200, 1000)]
+    values = ["".join(rng.choices("ghijKLMN23456-/+ñд", k=k)) for k in (63, 64, 65, 128, 256, 402, 70_000)]
+    values += [values[5][:300] + "h" * 102, "y" + values[5][1:], "#" * 300 + values[0]]
+    values += [re.sub("[ñд]", "q", values[5]), re.sub("[ñд]", "q", values[5]).swapcase()]
+    rows = list(enumerate([f"see {h} there" for h in hexes] + [f"api_key={v} there" for v in values]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii.collisions(df, "wavelens") == 0
+    got = {r.doc_id: r for r in pii.replace(df).collect()}
+    assert all(got[i].n_secret == 1 and len(got[i].text) == len(was) for i, was in rows)
+    now = [got[i].text.removeprefix("see ").removeprefix("api_key=").removesuffix(" there") for i, _ in rows]
+    for was, new in zip(hexes + values, now):
+        for at in range(0, len(was) - 15, 16):  # every part of it is replaced
+            part = was[at : at + 16]
+            assert new[at : at + 16] != part or part == "#" * 16
+    assert all(re.fullmatch("[0-9a-f]+", x) for x in now[:3])
+    long = now[3 + 5]
+    assert now[3 + 7][:300] != long[:300] and now[3 + 8][1:] != long[1:]  # a shared part gets no surrogate of its own
+    assert now[3 + 10] == now[3 + 11].swapcase()
+    assert len(set(now)) == len(now)

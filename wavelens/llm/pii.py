@@ -8,7 +8,8 @@ A surrogate is a keyed, format-preserving permutation of its entity. Character i
 keyed hash of the shifted characters after it; every character moves one step, and both passes are undone. So within a kind
 distinct entities get distinct surrogates, none is its own, and one entity gets one surrogate everywhere; hashes ignore
 case, so spellings that differ in case stay related. Separators, the phone's country code, the top-level domain and a card's
-distance to its check digit stay; octets stay octets. A known given name becomes another of the same gender by a keyed
+distance to its check digit stay; octets stay octets. Secrets may have any length: for long ones the hashed context is a chain
+of hashes of blocks, so the time stays in proportion. A known given name becomes another of the same gender by a keyed
 rotation of the list; other name parts change vowels to vowels and consonants to consonants and never become a listed name.
 
 Before use, the distinct entities of the whole corpus are checked: if two of a kind share a surrogate, or one is its own
@@ -45,11 +46,13 @@ PATTERNS = {
     "card": r"(?<![\p{L}\p{N}.])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
     "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'-]{{1,40}})?",
-    "secret": r"(?<=(?i:token|secret|password|passwd|api[_-]?key)[\x22']?\s{0,2}[:=]\s{0,2}[\x22']?)[^\s\x22']{8,256}|(?<![\p{L}\p{N}])[0-9a-fA-F]{32,128}(?![\p{L}\p{N}])",
+    "secret": r"(?<=(?i:token|secret|password|passwd|api[_-]?key)[\x22']?\s{0,2}[:=]\s{0,2}[\x22']?)[^\s\x22']{8,}+|(?<![\p{L}\p{N}])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
 }
 ENTITY = "|".join(PATTERNS.values())
 #: Most rounds in which a name leaves the lists; each has a chance of about one in a thousand for short names, less for longer.
 WALK = 4
+#: Characters permuted at a time, and how many are gathered (whole blocks) before they join the rest.
+BLOCK, CHAPTER = 64, 1 << 15
 LETTER = r"[\p{L}\p{N}]"
 #: No entity is in a text without one of these.
 _HINT = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}|(?i:token|secret|password|passwd|key)|[a-fA-F]{{32}}"
@@ -75,17 +78,33 @@ def _let(value: str, name: str, body: str) -> str:
     return f"aggregate(array({value}), '', (_z, {name}) -> {body})"
 
 
+def _pass(e: str, key: str, alphabets: tuple[str, ...], ahead: bool, given: bool, sign: str = "+") -> str:
+    """SQL: one pass over a string, from its start or its end, with contexts from the input if given, else from the output.
+
+    The context of a character is a hash of all blocks passed before and its own block's characters passed before, so the
+    time is linear in the length. The state is an array of that hash and the output.
+    """
+    order, near = ("sequence(1, length(b))", "substr(b, 1, i - 1)") if ahead else ("sequence(length(b), 1, -1)", "substr(b, i + 1)")
+    moved = _shift("substr(b, i, 1)", _hash(key, f"concat(x[0], {near if given else 'a'})"), alphabets, sign)
+    block = f"aggregate({order}, '', (a, i) -> {f'concat(a, {moved})' if ahead else f'concat({moved}, a)'})"
+    passed = f"sha2(concat({_sql(key)}, x[0], lower({'b' if given else 'o'})), 256)"
+    joined = lambda state, new: f"concat({state}, {new})" if ahead else f"concat({new}, {state})"
+    cut = lambda t, n: f"{'' if ahead else 'reverse'}(regexp_extract_all({t}, '(?s).{{1,{n}}}', 0))"
+    blocks = f"aggregate({cut('c', BLOCK)}, array(y[0], ''), (x, b) -> transform(array({block}), o -> array({passed}, {joined('x[1]', 'o')}))[0])"
+    return f"aggregate({cut(e, CHAPTER)}, array('', ''), (y, c) -> transform(array({blocks}), z -> array(z[0], {joined('y[1]', 'z[1]')}))[0])[1]"
+
+
 def _permute(e: str, key: str, alphabets: tuple[str, ...]) -> str:
     """SQL: both passes, one step on in every alphabet, and both passes undone.
 
     A step moves every string that has a character of an alphabet, and so does the same step seen through a permutation.
     """
-    ahead = f"aggregate(sequence(1, greatest(length({e}), 1)), '', (acc, i) -> concat(acc, {_shift(f'substr({e}, i, 1)', _hash(key + '>', f'substr({e}, 1, i - 1)'), alphabets)}))"
-    back = f"aggregate(sequence(length(s), 1, -1), '', (acc, i) -> concat({_shift('substr(s, i, 1)', _hash(key + '<', 'acc'), alphabets)}, acc))"
-    step = f"array_join(transform(sequence(1, length(t)), i -> {_shift('substr(t, i, 1)', '1', alphabets)}), '')"
-    unback = f"array_join(transform(sequence(1, length(u)), i -> {_shift('substr(u, i, 1)', _hash(key + '<', 'substr(u, i + 1)'), alphabets, '-')}), '')"
-    unahead = f"aggregate(sequence(1, length(v)), '', (acc, i) -> concat(acc, {_shift('substr(v, i, 1)', _hash(key + '>', 'acc'), alphabets, '-')}))"
-    return _let(ahead, "s", f"if(s = '', '', {_let(back, 't', _let(step, 'u', _let(unback, 'v', unahead)))})")
+    ahead = _pass(e, key + ">", alphabets, True, True)
+    back = _pass("s", key + "<", alphabets, False, False)
+    step = f"translate(t, {_sql(''.join(alphabets))}, {_sql(''.join(a[1:] + a[0] for a in alphabets))})"
+    unback = _pass("u", key + "<", alphabets, False, True, "-")
+    unahead = _pass("v", key + ">", alphabets, True, False, "-")
+    return _let(ahead, "s", _let(back, "t", _let(step, "u", _let(unback, "v", unahead))))
 
 
 def _luhn(digits: str) -> str:
