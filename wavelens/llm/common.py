@@ -17,40 +17,90 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one of our own on a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             folder = jvm_dir.get()
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             folder = tempfile.mkdtemp(prefix="wavelens-")
             spark.sparkContext.setCheckpointDir(folder)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return folder
 
 
 class Scratch:
-    """Intermediate tables written to the shared folder, so that a lost executor costs no recomputation of what came before."""
+    """Intermediate tables written to the shared folder, so that a lost executor costs no recomputation of what came before.
+
+    A superseded table is dropped at once; what a returned frame still reads goes when the application ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        fs, path = self._path(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def _path(self, path: str):
+        sc = self.spark.sparkContext
+        hpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return hpath.getFileSystem(sc._jsc.hadoopConfiguration()), hpath
+
+    def save(self, df: DataFrame, **options: str) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._wavelens_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that a later one supersedes."""
-        path = getattr(df, "_wavelens_path", None)
-        if path:
-            sc = self.spark.sparkContext
-            hpath = sc._jvm.org.apache.hadoop.fs.Path(path)
-            hpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hpath, True)
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete tables that later ones supersede."""
+        for df in frames:
+            path = getattr(df, "_wavelens_path", None)
+            if path:
+                fs, hpath = self._path(path)
+                fs.delete(hpath, True)
+
+
+#: Bits of one bitmap, bits a key gets, and the most bitmaps a sieve has (4 KB each, 8 MB in all).
+_BITMAP, _PER_KEY, _MOST = 1 << 15, 12, 2048
+
+
+def sieve(keys: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """A Bloom filter of a frame's keys as rows (bucket, bits), with the number of buckets; its size is bounded whatever their number."""
+    h = F.xxhash64(F.lit("sieve"), column)
+    buckets = min(_MOST, max(1, keys.count() * _PER_KEY // _BITMAP))
+    at = keys.select(F.pmod(h, F.lit(buckets)).alias("bucket"), F.explode(_positions(column)).alias("at"))
+    return at.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")), buckets
+
+
+def _positions(column: str) -> F.Column:
+    return F.array(*(F.pmod(F.shiftrightunsigned(F.xxhash64(F.lit("bits"), column), 15 * i), F.lit(_BITMAP)) for i in range(4)))
+
+
+def sift(df: DataFrame, column: str, keys: DataFrame, name: str) -> DataFrame:
+    """The frame with a boolean column: false where the key is not in ``keys`` (a column of the same name), true where it is or, seldom, only seems to be.
+
+    Rows found false need no join, so a join that follows moves only the others.
+    """
+    bitmaps, buckets = sieve(keys, column)
+    bucket, bits, at = (unique_name(df, x) for x in ("_bucket", "_bits", "_at"))
+    marked = df.withColumn(bucket, F.pmod(F.xxhash64(F.lit("sieve"), column), F.lit(buckets))).withColumn(at, _positions(column))
+    joined = marked.join(F.broadcast(bitmaps.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits))), bucket, "left")
+    seen = f"coalesce(forall(`{at}`, p -> shiftright(int(conv(hex(substring(`{bits}`, int(p div 8) + 1, 1)), 16, 10)), int(p % 8)) & 1 = 1), false)"
+    return joined.withColumn(name, F.expr(seen)).drop(bucket, bits, at)
+
+
+def without(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is not among the frame ``keys`` (its column has the same name); only rows that seem to be move for the exact join."""
+    maybe = unique_name(df, "_maybe")
+    marked = sift(df, column, keys, maybe)
+    rest = marked.where(F.col(maybe)).join(keys.hint("merge"), column, "left_anti")
+    return marked.where(~F.col(maybe)).drop(maybe).unionByName(rest.drop(maybe))
 
 
 def text_slices(batch: pa.RecordBatch, column: str, budget: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

@@ -21,8 +21,8 @@ def op4_html(spark, sf_dir):
 
 
 def op5_cross_entropy(spark, sf_dir):
-    docs = lm.with_target(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return lm.cross_entropy_difference(docs, "is_target")
+    docs = table(spark, sf_dir, "documents")
+    return lm.cross_entropy_difference(docs, lm.targets(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_byte_bpe(spark, sf_dir):
