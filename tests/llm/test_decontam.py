@@ -1,8 +1,10 @@
 import hashlib
+import itertools
+import random
 import re
 
 from wavelens.llm import decontam
-from wavelens.llm.common import Scratch, table
+from wavelens.llm.common import table
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -32,10 +34,22 @@ def brute(docs, items):
     return out
 
 
+def brute_near(docs, items, slop=20):
+    """Items whose three rarest terms stand within slop words, by every combination of their places."""
+    places = [(d, {}) for d, _ in docs]
+    df = {}
+    for (_, at), (_, t) in zip(places, docs):
+        for p, w in enumerate(tokens(t)):
+            at.setdefault(w, []).append(p)
+            df[w] = df.get(w, 0) + 1
+    picks = {(i, tuple(sorted(set(tokens(t)), key=lambda w: (df.get(w, 0), w))[:3])) for i, t in items if tokens(t)}
+    return [(d, len({i for i, ws in picks if all(w in at for w in ws) and min(max(c) - min(c) + 1 for c in itertools.product(*(at[w] for w in ws))) <= slop})) for d, at in places]
+
+
 def check(spark, docs, items):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     i = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: tuple(r)[1:] for r in decontam.contamination(d, i).collect()}
+    got = {r.doc_id: tuple(r)[1:6] for r in decontam.contamination(d, i).collect()}
     assert got == brute(docs, items)
 
 
@@ -58,10 +72,21 @@ def test_edges(spark):
     assert decontam.contamination(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_rows_are_matched_each_by_itself(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = [(None, item), (None, "clean words"), (7, item + " x"), (7, "nothing here"), (7, item + " x")]
+    i = spark.createDataFrame([(1, item)], "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'a' AS row", "1 AS pos", "2 AS n_hit")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.contaminated) for r in decontam.contamination(d, i).collect())
+    assert got == [(0, 2, 0, False), (0, 10, 10, True), (7, 2, 0, False), (7, 11, 10, True), (7, 11, 10, True)]
+
+
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha x x beta x gamma"), (2, "alpha " + "x " * 500 + "beta gamma")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "gamma beta alpha")], "item_id long, text string")
-    scratch = Scratch(spark, "t")
-    terms = decontam.item_terms(items, scratch)
-    postings, _ = decontam.build_index(docs, terms.select("term", "term_id").distinct(), scratch)
-    assert [r.doc_id for r in decontam.proximity_matches(postings, terms).collect()] == [1]
+    words = [f"w{i}" for i in range(12)]
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(90, "alpha " + "x " * 17 + "beta gamma"), (91, "alpha " + "x " * 18 + "beta gamma"), (92, "gamma beta alpha"), (93, None)]
+    items = [(1, "gamma beta alpha"), (2, "w1 w2"), (3, "w3"), (4, "w4 w5 w6 w7"), (5, "w1 unseen"), (6, "")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.n_near) for r in decontam.contamination(d, i).collect())
+    assert got == sorted(brute_near(docs, items))
+    assert [n for d, n in got if d >= 90] == [1, 0, 1, 0]

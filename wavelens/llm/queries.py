@@ -74,9 +74,18 @@ ks AS (SELECT DISTINCT k FROM ii),
 dw AS (SELECT doc_id, k, a, array_to_string(w[a:a + k - 1], ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS a FROM d, ks WHERE len(w) >= k)),
 m AS (SELECT doc_id, item_id, dw.k AS k, a FROM dw JOIN iw ON dw.k = iw.k AND dw.win = iw.win),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(a, a + k)) AS p FROM m) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id)
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id),
+it AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(w) AS term FROM ii)),
+po AS (SELECT doc_id, term, pos FROM (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM d) WHERE term IN (SELECT term FROM it)),
+df AS (SELECT term, count(*) AS df FROM po GROUP BY term),
+pk AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS need, min(df) OVER (PARTITION BY item_id) AS lo FROM
+  (SELECT item_id, it.term, coalesce(df, 0) AS df, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(df, 0), it.term) AS k FROM it LEFT JOIN df USING (term)) WHERE k <= 3),
+ls AS (SELECT doc_id, item_id, pos, need, max(CASE WHEN k = 1 THEN pos END) OVER s AS l1, max(CASE WHEN k = 2 THEN pos END) OVER s AS l2, max(CASE WHEN k = 3 THEN pos END) OVER s AS l3
+  FROM po JOIN pk USING (term) WHERE lo > 0 WINDOW s AS (PARTITION BY doc_id, item_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+nr AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM ls WHERE l1 IS NOT NULL AND (need < 2 OR l2 IS NOT NULL) AND (need < 3 OR l3 IS NOT NULL)
+  AND pos - least(pos, coalesce(l1, pos), coalesce(l2, pos), coalesce(l3, pos)) + 1 <= 20 GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN nr USING (doc_id)
 """,
 }
