@@ -70,16 +70,19 @@ class Scratch:
 _BITMAP, _PER_KEY, _MOST = 1 << 15, 12, 2048
 
 
-def sieve(keys: DataFrame, column: str) -> tuple[DataFrame, int]:
-    """A Bloom filter of a frame's keys as rows (bucket, bits), with the number of buckets; its size is bounded whatever their number."""
-    h = F.xxhash64(F.lit("sieve"), column)
-    buckets = min(_MOST, max(1, keys.count() * _PER_KEY // _BITMAP))
-    at = keys.select(F.pmod(h, F.lit(buckets)).alias("bucket"), F.explode(_positions(column)).alias("at"))
-    return at.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")), buckets
+def _position(column: str, i: int) -> str:
+    return f"pmod(shiftrightunsigned(xxhash64('bits', `{column}`), {15 * i}), {_BITMAP})"
 
 
-def _positions(column: str) -> F.Column:
-    return F.array(*(F.pmod(F.shiftrightunsigned(F.xxhash64(F.lit("bits"), column), 15 * i), F.lit(_BITMAP)) for i in range(4)))
+def sieve(keys: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """A Bloom filter of a frame's keys as rows (bucket, bits), bits as an array of longs, with the number of buckets; its size is bounded whatever the number of keys."""
+    buckets = min(_MOST, max(1, -(-keys.count() * _PER_KEY // _BITMAP)))
+    words = _BITMAP // 64
+    at = keys.select(F.expr(f"pmod(xxhash64('sieve', `{column}`), {buckets})").alias("bucket"), F.explode(F.array(*(F.expr(_position(column, i)) for i in range(4)))).alias("p"))
+    ones = at.select("bucket", F.expr("shiftright(p, 6)").alias("w"), F.expr("shiftleft(1L, int(p % 64))").alias("b"))
+    none = keys.sparkSession.range(buckets * words).select(F.expr(f"id div {words}").alias("bucket"), F.expr(f"id % {words}").alias("w"), F.lit(0).cast("long").alias("b"))
+    full = ones.unionByName(none).groupBy("bucket", "w").agg(F.bit_or("b").alias("b"))
+    return full.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("w", "b"))).alias("r")).select("bucket", F.transform("r", lambda x: x["b"]).alias("bits")), buckets
 
 
 def sift(df: DataFrame, column: str, keys: DataFrame, name: str) -> DataFrame:
@@ -88,11 +91,11 @@ def sift(df: DataFrame, column: str, keys: DataFrame, name: str) -> DataFrame:
     Rows found false need no join, so a join that follows moves only the others.
     """
     bitmaps, buckets = sieve(keys, column)
-    bucket, bits, at = (unique_name(df, x) for x in ("_bucket", "_bits", "_at"))
-    marked = df.withColumn(bucket, F.pmod(F.xxhash64(F.lit("sieve"), column), F.lit(buckets))).withColumn(at, _positions(column))
+    bucket, bits = unique_name(df, "_bucket"), unique_name(df, "_bits")
+    marked = df.withColumn(bucket, F.expr(f"pmod(xxhash64('sieve', `{column}`), {buckets})"))
     joined = marked.join(F.broadcast(bitmaps.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits))), bucket, "left")
-    seen = f"coalesce(forall(`{at}`, p -> shiftright(int(conv(hex(substring(`{bits}`, int(p div 8) + 1, 1)), 16, 10)), int(p % 8)) & 1 = 1), false)"
-    return joined.withColumn(name, F.expr(seen)).drop(bucket, bits, at)
+    test = " AND ".join(f"(get(`{bits}`, int(shiftright({p}, 6))) & shiftleft(1L, int({p} % 64))) <> 0" for p in (_position(column, i) for i in range(4)))
+    return joined.withColumn(name, F.expr(f"coalesce({test}, false)")).drop(bucket, bits)
 
 
 def without(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:

@@ -9,21 +9,31 @@ keyed hash of the shifted characters after it; every character moves one step, a
 distinct entities get distinct surrogates, none is its own, and one entity gets one surrogate everywhere; hashes ignore
 case, so spellings that differ in case stay related. Separators, the phone's country code, the top-level domain and a card's
 distance to its check digit stay; octets stay octets. Secrets may have any length: for long ones the hashed context is a chain
-of hashes of blocks, so the time stays in proportion. A known given name becomes another of the same gender by a keyed
-rotation of the list; other name parts change vowels to vowels and consonants to consonants and never become a listed name.
+of hashes of blocks, so the time stays in proportion. A known given name becomes the next of the same gender on a circle whose order
+the key decides; other name parts change vowels to vowels and consonants to consonants and never become a listed name. A name is a
+title and up to four capitalised words after it; mentions without a title are not found.
 
-Before use, the distinct entities of the whole corpus are checked: if two of a kind share a surrogate, or one is its own
-surrogate, the key is tweaked and the check repeated; if no key passes, that is an error. No table of entities is needed to
+Whoever has the key can undo the permutation, so there is no default: keep it secret, or throw it away.
+
+Texts are scanned once; entities and the text between them are written to the shared folder. Before use, the distinct entities of the
+whole corpus are checked: if two of a kind share a surrogate, or one is its own surrogate, the key is tweaked and the check
+repeated; if no key passes, that is an error. That a surrogate is by chance some other entity of the corpus is not excluded: among
+millions of addresses of a small kind (IPv4) it is certain to happen, and it tells nothing, as any entity may be a surrogate. No table of entities is needed to
 replace them, so texts are not shuffled and a frequent entity costs no more than a rare one.
 
-Null texts stay null, with zero counts. Rows are independent: repeated rows give repeated results.
+Null texts stay null, with zero counts. Rows are independent: repeated rows give repeated results. An empty table gives an empty
+result; columns named like the counts are replaced, all others kept.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, unique_name
+
 KINDS = ("email", "phone", "ip", "card", "account", "ssn", "name", "secret")
 #: Titles and given names by gender, in natural order.
 MALE_TITLES = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Sir")
@@ -39,13 +49,13 @@ HEX_ALPHABETS = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJ
 _TITLE = "|".join(MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES)
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.)+\p{L}{2,24}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]{1,63}\.)+\p{L}{2,63}",
     "phone": r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![\p{L}\p{N}])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
     "ip": rf"(?<![\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
     "account": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}.])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'-]{{1,40}})?",
+    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.?(?: \p{{Lu}}[\p{{L}}'-]++){{1,4}}",
     "secret": r"(?<=(?i:token|secret|password|passwd|api[_-]?key)[\x22']?\s{0,2}[:=]\s{0,2}[\x22']?)[^\s\x22']{8,}+|(?<![\p{L}\p{N}])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
 }
 ENTITY = "|".join(PATTERNS.values())
@@ -133,17 +143,20 @@ def _ip(e: str, key: str) -> str:
     return _let(ahead, "s", _let(back, "t", _let(step, "u", _let(unback, "v", joined(unahead)))))
 
 
+def given_names(names: tuple[str, ...], key: str) -> dict[str, str]:
+    """What each of a list's names becomes: the next on a circle in the order of keyed hashes, so never itself."""
+    order = sorted(names, key=lambda n: hashlib.sha256((key + n).encode()).digest())
+    return dict(zip(order, order[1:] + order[:1]))
+
+
 def _name(e: str, key: str) -> str:
-    """SQL: title kept; a known given name rotated within its gender's list, every other part permuted."""
-    given = []
-    for names in (MALE_NAMES, FEMALE_NAMES):
-        listed = f"array({', '.join(map(_sql, names))})"
-        given.append(f"WHEN array_contains({listed}, w) THEN {listed}[int((array_position({listed}, w) - 1 + 1 + {_hash(key + 'given', _sql(''))} % {len(names) - 1}) % {len(names)})]")
-    listed = f"array({', '.join(map(_sql, MALE_NAMES + FEMALE_NAMES))})"
+    """SQL: title kept; a known given name replaced by another of its gender, every other part permuted."""
+    made = given_names(MALE_NAMES, key) | given_names(FEMALE_NAMES, key)
+    listed, new = (f"array({', '.join(map(_sql, x))})" for x in (made.keys(), made.values()))
     # names outside the lists stay outside: the permutation goes on until it leaves the lists
     other = f"aggregate(sequence(1, {WALK}), w, (x, n) -> if(n = 1 OR array_contains({listed}, x), {_permute('x', key, NAME_ALPHABETS)}, x))"
-    part = f"CASE {' '.join(given)} ELSE {other} END"
-    return f"concat_ws(' ', split({e}, ' ')[0], array_join(transform(slice(split({e}, ' '), 2, 2), w -> {part}), ' '))"
+    part = f"CASE WHEN array_contains({listed}, w) THEN {new}[int(array_position({listed}, w)) - 1] ELSE {other} END"
+    return f"concat_ws(' ', split({e}, ' ')[0], array_join(transform(slice(split({e}, ' '), 2, 4), w -> {part}), ' '))"
 
 
 def kind_sql(e: str) -> str:
@@ -182,26 +195,31 @@ def collisions(df: DataFrame, key: str, text: str = "text") -> int:
 
     An entity without any letter or digit stays as it is and does not count.
     """
-    found = df.select(F.explode(entities(text)).alias("e")).groupBy("e").agg(F.lit(1).alias("one"))
-    made = found.select("e", F.expr(surrogate_sql("e", key)).alias("s"))
+    return _collisions(df.select(entities(text).alias("e")), "e", key)
+
+
+def _collisions(df: DataFrame, found: str, key: str) -> int:
+    each = df.select(F.explode(found).alias("e")).groupBy("e").agg(F.lit(1).alias("one"))
+    made = each.select("e", F.expr(surrogate_sql("e", key)).alias("s"))
     return made.groupBy("s").agg(F.count("*").alias("n"), F.max((F.col("e") == F.col("s")) & F.col("e").rlike(LETTER)).alias("same")).where("n > 1 OR same").count()
 
 
-def replace(df: DataFrame, key: str = "wavelens", text: str = "text", attempts: int = 4) -> DataFrame:
+def replace(df: DataFrame, key: str, text: str = "text", attempts: int = 4) -> DataFrame:
     """The frame with surrogates in ``text``, and the number of entities of each kind in columns ``n_<kind>`` (replaced if there)."""
+    if not key:
+        raise ValueError("a key is needed: surrogates without one can be undone by anyone")
+    scratch = Scratch(df.sparkSession, "pii")
+    e, p, k = (unique_name(df, x) for x in ("_entities", "_parts", "_kinds"))
+    some = F.size(e) > 0
+    scanned = df.withColumn(e, entities(text)).withColumns({p: F.when(some, F.expr(f"split(`{text}`, {_sql(ENTITY)}, -1)")), text: F.when(~some, F.col(text))})
+    scanned = scratch.save(scanned)
     for attempt in range(attempts):
         tweaked = key if not attempt else f"{key}#{attempt}"
-        if not collisions(df, tweaked, text):
+        if not _collisions(scanned, e, tweaked):
             break
     else:
         raise ValueError(f"surrogates still collide after {attempts} keys")
-    e = entities(text)
-    t = f"coalesce(`{text}`, '')"
-    parts = F.expr(f"if({t} RLIKE {_sql(_HINT)}, split({t}, {_sql(ENTITY)}, -1), array({t}))")
-    names = {"_wl_e": e, "_wl_p": parts}
-    out = df.withColumns(names)
-    made = F.expr(f"array_join(zip_with(_wl_p, concat(transform(_wl_e, e -> {surrogate_sql('e', tweaked)}), array('')), (p, s) -> concat(p, s)), '')")
-    kinds = F.expr(f"transform(_wl_e, e -> {kind_sql('e')})")
-    out = out.withColumn("_wl_k", kinds).withColumn(text, F.when(F.size("_wl_e") > 0, made).otherwise(F.col(text)))
-    out = out.withColumns({f"n_{k}": F.expr(f"bigint(size(filter(_wl_k, x -> x = '{k}')))") for k in KINDS})
-    return out.drop("_wl_e", "_wl_p", "_wl_k")
+    made = F.expr(f"array_join(zip_with(`{p}`, concat(transform(`{e}`, e -> {surrogate_sql('e', tweaked)}), array('')), (p, s) -> concat(p, s)), '')")
+    out = scanned.withColumn(k, F.expr(f"transform(`{e}`, e -> {kind_sql('e')})")).withColumn(text, F.when(some, made).otherwise(F.col(text)))
+    out = out.withColumns({f"n_{kind}": F.expr(f"bigint(size(filter(`{k}`, x -> x = '{kind}')))") for kind in KINDS})
+    return out.drop(e, p, k)

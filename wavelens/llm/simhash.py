@@ -20,13 +20,14 @@ gets its class's component and never names one. An empty table gives an empty re
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, connected_components, text_slices
+from .common import Scratch, connected_components, text_slices, unique_name, without
 
 _CHUNK = 1 << 16  # shingles whose bits are unpacked at once
 
@@ -152,3 +153,25 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     named = reps.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
     out = fps.join(named, F.col("fp") == F.col("_fp"))
     return out.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, bits: int = 2, group: int = 128) -> DataFrame:
+    """One row of every group with all its columns: that with the smallest id. Rows without an id come after all others; of rows that share the id, any one is taken.
+
+    Rows go by numbers of their own, so repeated and null ids are rows like others.
+    """
+    scratch = Scratch(df.sparkSession, "simhash")
+    row, fp = unique_name(df, "_row"), unique_name(df, "_fp")
+
+    @F.pandas_udf(T.LongType())
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint((t or "").encode(), words) for t in texts], np.uint64).view(np.int64))
+
+    rows = scratch.save(df.withColumns({row: F.monotonically_increasing_id(), fp: of(text)}))
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(row).alias("row"))
+    reps = scratch.save(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first")))
+    nodes = reps.select("fp", F.col("first.row").alias("rep"))
+    labels = connected_components(links(nodes, scratch, bits, group), scratch)
+    kept = reps.join(labels, F.col("first.row") == F.col("node"), "left").groupBy(F.coalesce("component", "first.row")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    others = scratch.save(rows.select(row).join(kept, row, "left_anti"))
+    return without(rows.drop(fp), row, others).select(df.columns)
