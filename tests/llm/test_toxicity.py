@@ -46,3 +46,59 @@ def test_edges(spark):
     rows = toxicity.toxicity(docs, none).collect()
     assert len(rows) == 3 and all(r.score < 0.3 for r in rows)
     assert toxicity.toxicity(docs.limit(0), none).count() == 0
+
+
+def slow_kernel(a, b, order):
+    from itertools import combinations
+
+    total = 0.0
+    for i in combinations(range(len(a)), order):
+        for j in combinations(range(len(b)), order):
+            if all(a[x] == b[y] for x, y in zip(i, j)):
+                total += toxicity.DECAY ** (i[-1] - i[0] + 1 + j[-1] - j[0] + 1)
+    return total
+
+
+def slow_feature(s, t):
+    order = min(len(t), toxicity.ORDER)
+    k = slow_kernel(s, t, order) / np.sqrt(max(slow_kernel(s, s, order) * slow_kernel(t, t, order), 1e-30))
+    rest, it = len(s) - len(t), iter(s)
+    if 0 < rest <= max(1, len(t) // 4) and all(c in it for c in t):
+        k = max(k, toxicity.DECAY**rest)
+    return min(k, 1.0) ** toxicity.POWER
+
+
+def test_features_match_brute_force():
+    rng = np.random.default_rng(5)
+    marks = ["idiot", "bum", "stupid", "scum", "moron", "abcabcab"]
+    words = ["idxiot", "oron", "bum", "buum", "sum", "stuupid", "idiots", "abxcabcab", "zzz", "scummy"] + ["".join(rng.choice(list("abcdimnoprstu"), rng.integers(3, 10))) for _ in range(150)]
+    got = toxicity.Landmarks(marks).compare(sorted(set(words)))
+    for w in set(words):
+        want = {j: v for j, t in enumerate(marks) if (v := slow_feature(w, t)) >= toxicity.FLOOR}
+        have = dict(got.get(w, []))
+        assert all(abs(have.get(j, 0.0) - v) < 1e-3 for j, v in want.items() if v > toxicity.FLOOR + 1e-3), w
+        assert all(abs(v - want.get(j, v)) < 1e-3 for j, v in have.items()), w
+
+
+def test_inserted_letters_and_short_insults():
+    rng = np.random.default_rng(2)
+    clean = ["".join(rng.choice(list("bcdfglmnprstvz")) + rng.choice(list("aeiou")) for _ in range(rng.integers(2, 5))) for _ in range(300)]
+    bad = ["idiot", "moron", "stupid", "scum", "bum"]
+    texts, labels = [], []
+    for i in range(400):
+        words = list(rng.choice(clean, 12))
+        if i % 4 == 0:
+            words[3:5] = rng.choice(bad, 2)
+        texts.append(" ".join(words)), labels.append(int(i % 4 == 0))
+    scorer = toxicity.fit(texts, labels).scorer()
+    said = lambda w: scorer.scores([" ".join([*clean[:3], w, *clean[3:6]])])[0]
+    assert all(said(w) >= 0.3 for w in ("idiot", "bum", "idxiot", "moxron", "stuxpid", "scxum", "i.d.i.o.t", "id1ot"))
+    assert np.mean([scorer.scores([t])[0] >= 0.3 for t, y in zip(texts, labels) if not y]) < 0.02
+
+
+def test_labels_and_rows_that_repeat(spark):
+    docs = spark.createDataFrame([(1, "fine words", "a"), (1, "fine words", "b"), (2, "fine words", "c"), (None, "fine words", "d")], "doc_id long, text string, _y string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (None, 1)], "doc_id long, toxic int")
+    rows = toxicity.toxicity(docs, labels).collect()
+    assert len(rows) == 4 and len({r.score for r in rows}) == 1
+    assert toxicity.score(docs, toxicity.fit_on(docs, labels)).columns == ["doc_id", "text", "_y", "score"]

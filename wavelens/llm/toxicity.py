@@ -1,20 +1,24 @@
 """Toxicity by a subsequence-string-kernel support vector machine with Nyström landmarks.
 
-The kernel of two strings sums, over all letter subsequences of length four they share, a decay for every letter and gap
+The kernel of two strings sums, over all letter subsequences of length four (three for a landmark of three letters) they share, a decay for every letter and gap
 the occurrences span, and is normalised by the strings' own kernels. A letter more or less, or a gap, costs a decay rather
-than the match. A text's strings are its letter runs, the runs that punctuation inside a chunk or spaces between single
+than the match. As a string's own kernel grows with letters put into it, a string that holds a landmark's letters in order and up to a quarter as many others (at least one)
+counts at least as the decay to the power of those others. A text's strings are its letter runs, the runs that punctuation inside a chunk or spaces between single
 letters have torn apart, and overlapping stretches of runs that are too long; digits that stand for letters count as them.
 The kernel of a text with a landmark is the largest of its strings', to the power ``POWER``; a text's features are these
 kernels times the inverse root of the landmarks' own matrix. A linear machine with hinge loss is trained on them and its
 margin is calibrated to a probability.
 
 The model is fitted on the driver on at most ``sample`` labelled rows (those first in a fixed hash order, 6,000 unless told
-otherwise), and never on a held-out row; landmarks are the strings of that sample that tell its labels apart best. Scoring
-covers every whole text in Arrow batches. A string is compared with a landmark in full only if their gapped letter pairs
-agree enough; below that the kernel counts as zero.
-
-Null and empty texts score like a text without strings. Rows without a label do not train; without both labels in the
-sample every text gets the sample's rate of label 1 (0 for an empty sample).
+otherwise), and never on a held-out row; landmarks are the strings of that sample that tell its labels apart best. Landmarks that
+mark toxic rows nearly alone are also shown to the machine as texts of their own, with four times a row's weight, since most toxic rows hold several. Scoring
+covers every whole text in Arrow batches. A string is compared with a landmark in full unless that is proven needless: the kernel's square is at most the
+share of the landmark's own kernel that subsequences of letters the string has make up (by Cauchy and Schwarz), so where that is below ``FLOOR`` so is the feature, and features below ``FLOOR``
+are zero by definition.
+
+Null and empty texts score like a text without strings, as do those whose strings all have fewer than three letters. Rows without a label do not train; of several labels of
+an id the smallest counts, of several texts the first; without both labels in the sample every text gets the sample's rate of label 1 (0 for an empty sample). Rows with equal
+texts score alike; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -33,8 +37,9 @@ from pyspark.sql import types as T
 
 from .common import text_slices
 
-DECAY, POWER, WIDTH, PAIR_GAP, PAIR_LEAST = 0.85, 2, 24, 3, 0.65
-_CODES = 40
+DECAY, ORDER, SHORT, POWER, WIDTH, FLOOR = 0.85, 4, 3, 2, 24, 0.05
+#: Landmarks with more different letters than this are compared with every string.
+_CODES, _SETS = 40, 12
 _RUN = re.compile(r"[^\W_]+")
 _SINGLES = re.compile(r"(?:\b[^\W_][\W_]{1,2}){3,}[^\W_]\b")
 _DIGITS = str.maketrans("0134578", "oieastb")
@@ -64,7 +69,7 @@ def strings(text: str) -> set[str]:
             if len(runs) > 1:
                 found.add("".join(runs))
     found.update("".join(_RUN.findall(torn)) for torn in _SINGLES.findall(low))
-    return {s for s in found if len(s) >= 4}
+    return {s for s in found if len(s) >= SHORT}
 
 
 def _stretches(s: str) -> list[str]:
@@ -76,22 +81,33 @@ def codes(words: list[str], width: int, pad: int) -> np.ndarray:
     return np.where(raw == 0, pad, _fold()[np.minimum(raw, 0xFFFF)])
 
 
-def kernel(s: np.ndarray, t: np.ndarray, order: int = 4) -> np.ndarray:
+def kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER) -> np.ndarray:
     """Subsequence kernel of each row of s with the same row of t (codes; pads match nothing)."""
     n, lt = t.shape
-    prime = np.zeros((order, n, lt + 1), np.float32)
-    prime[0] = 1
-    total = np.zeros(n)
+    t = np.ascontiguousarray(t.T)  # positions first, so that every step runs along rows
+    prime = np.zeros((lt + 1, order, n), np.float32)
+    prime[:, 0] = 1
+    total, decay = np.zeros(n, np.float32), np.float32(DECAY)
     for a in range(s.shape[1]):
-        same = (s[:, a, None] == t) * np.float32(DECAY * DECAY)
-        total += (same * prime[order - 1, :, :-1]).sum(1)
-        met = same * prime[: order - 1, :, :-1]
-        prime[1:] *= np.float32(DECAY)
+        same = (s[:, a] == t) * np.float32(DECAY * DECAY)
+        total += (same * prime[:-1, order - 1]).sum(0)
+        met = same[:, None] * prime[:-1, : order - 1]
+        prime[:, 1:] *= decay
         run = np.zeros((order - 1, n), np.float32)
         for b in range(lt):
-            run = np.float32(DECAY) * run + met[:, :, b]
-            prime[1:, :, b + 1] += run
-    return total
+            run *= decay
+            run += met[b]
+            prime[b + 1, 1:] += run
+    return total.astype(float)
+
+
+def left_out(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """For each row, how many letters of s are left out if it holds t's letters in order, else -1 (codes; pads below 0)."""
+    at, size = np.zeros(len(s), np.int64), (t >= 0).sum(1)
+    for a in range(s.shape[1]):
+        want = t[np.arange(len(t)), np.minimum(at, t.shape[1] - 1)]
+        at += (at < size) & (s[:, a] >= 0) & (s[:, a] == want)
+    return np.where(at == size, (s >= 0).sum(1) - size, -1)
 
 
 class Landmarks:
@@ -100,46 +116,72 @@ class Landmarks:
     def __init__(self, words: list[str]):
         self.words = words
         self.t = codes(words, max(map(len, words), default=1), -2)
-        self.own = kernel(codes(words, self.t.shape[1], -1), self.t)
-        self.pairs = np.zeros((_CODES * _CODES, len(words)), np.float32)
-        for j, row in enumerate(self.t):
-            for d in range(1, PAIR_GAP + 1):
-                for x, y in zip(row, row[d:]):
-                    if x > 0 and y > 0:
-                        self.pairs[x * _CODES + y, j] += DECAY ** (d + 1)
-        self.pairs /= np.maximum(np.sqrt((self.pairs**2).sum(0)), 1e-9)
-
-    def near(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and landmarks whose gapped letter pairs agree enough."""
-        c = codes(words, WIDTH, 0).astype(np.int32)
-        total = np.zeros((len(words), len(self.words)), np.float32)
-        norm = np.zeros(len(words), np.float32)
-        for d in range(1, PAIR_GAP + 1):
-            for i in range(WIDTH - d):
-                rows = np.flatnonzero(c[:, i + d] > 0)
-                if len(rows):
-                    total[rows] += self.pairs[c[rows, i] * _CODES + c[rows, i + d]] * np.float32(DECAY ** (d + 1))
-                    norm[rows] += DECAY ** (2 * d + 2)
-        return np.nonzero(total >= PAIR_LEAST * np.sqrt(norm)[:, None] + 1e-6)
+        self.size = (self.t >= 0).sum(1)
+        self.order = np.minimum(self.size, ORDER)
+        same = np.where(self.t < 0, -1, self.t)
+        self.own = np.where(self.order < ORDER, kernel(same, self.t, SHORT), kernel(same, self.t))
+        self.bounds = [self._bound(j) for j in range(len(words))]
+
+    def _bound(self, j: int) -> tuple[list[int], np.ndarray] | None:
+        """A landmark's different letters, and by the set of those a string has (as bits) whether a feature can reach the floor."""
+        t, order = self.t[j], int(self.order[j])
+        letters = sorted(set(t[t >= 0].tolist()))
+        if len(letters) > _SETS:
+            return None
+        have = (np.arange(1 << len(letters))[:, None] >> np.arange(len(letters))) & 1
+        keep = np.zeros((len(have), _CODES), bool)
+        keep[:, letters] = have.astype(bool)
+        kept = keep[:, np.maximum(t, 0)] & (t >= 0)
+        own = np.concatenate([kernel(np.where(k, t, -1), np.where(k, t, -2), order) for k in np.array_split(kept, max(1, len(kept) // 2048))])
+        return letters, own / max(self.own[j], 1e-30) >= FLOOR ** (2 / POWER) - 1e-6
+
+    def candidates(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of codes and landmarks whose feature may reach the floor."""
+        has = np.zeros((len(c), _CODES + 1), bool)
+        has[np.arange(len(c))[:, None], np.where(c >= 0, c, _CODES)] = True
+        may = np.ones((len(c), len(self.words)), bool)
+        for j, bound in enumerate(self.bounds):
+            if bound:
+                letters, reach = bound
+                may[:, j] = reach[has[:, letters] @ (1 << np.arange(len(letters)))]
+        return np.nonzero(may)
+
+    def kernels(self, s: np.ndarray, m: np.ndarray, own: dict[int, np.ndarray]) -> np.ndarray:
+        """Normalised kernels of rows of codes with the landmarks of the given numbers."""
+        out = np.zeros(len(s))
+        t = self.t[m, : self.size[m].max()]
+        for order in (SHORT, ORDER):
+            at = np.flatnonzero(self.order[m] == order)
+            if len(at):
+                out[at] = kernel(s[at], t[at], order) / np.sqrt(np.maximum(own[order][at] * self.own[m[at]], 1e-30))
+        rest = left_out(s, t)
+        few = (rest > 0) & (rest <= np.maximum(1, self.size[m] // 4))
+        return np.minimum(np.where(few, np.maximum(out, DECAY ** np.maximum(rest, 0)), out), 1.0)
 
     def compare(self, words: list[str]) -> dict[str, list[tuple[int, float]]]:
-        """Landmarks that each string resembles, with the kernel; strings that resemble none are left out."""
+        """Features of each string: the landmarks it resembles, with the value; strings that resemble none are left out."""
         parts = [(w, p) for w in words for p in _stretches(w)]
         out: dict[str, list[tuple[int, float]]] = {}
         for at in range(0, len(parts), 8192):
             chunk = sorted(parts[at : at + 8192], key=lambda x: len(x[1]))
-            row, mark = self.near([p for _, p in chunk])
-            if not len(row):
-                continue
-            used, back = np.unique(row, return_inverse=True)
-            s = codes([chunk[i][1] for i in used], WIDTH, -1)
-            own = kernel(s, np.where(s < 0, -2, s))
+            c = codes([p for _, p in chunk], WIDTH, -1)
+            row, mark = self.candidates(c)
+            used = np.unique(row)
+            own = {order: np.zeros(len(chunk)) for order in (SHORT, ORDER)}
+            for lo in range(0, len(used), 4096):
+                u = used[lo : lo + 4096]
+                s = c[u, : len(chunk[u[-1]][1])]
+                for order in own:
+                    own[order][u] = kernel(s, np.where(s < 0, -2, s), order)
+            length = (c >= 0).sum(1)
+            o = np.lexsort((length[row], self.size[mark]))  # batches of like lengths waste few steps
+            row, mark = row[o], mark[o]
             for lo in range(0, len(row), 4096):
-                b, m = back[lo : lo + 4096], mark[lo : lo + 4096]
-                k = kernel(s[b], self.t[m]) / np.sqrt(np.maximum(own[b] * self.own[m], 1e-30))
-                for i, j, v in zip(used[b].tolist(), m.tolist(), (k**POWER).tolist()):
-                    if v > 0.1:
-                        out.setdefault(chunk[i][0], []).append((j, v))
+                r, m = row[lo : lo + 4096], mark[lo : lo + 4096]
+                v = self.kernels(c[r, : length[r].max()], m, {o: x[r] for o, x in own.items()}) ** POWER
+                hit = np.flatnonzero(v >= FLOOR)
+                for i, j, x in zip(r[hit].tolist(), m[hit].tolist(), v[hit].tolist()):
+                    out.setdefault(chunk[i][0], []).append((j, x))
         return out
 
 
@@ -189,7 +231,7 @@ class Scorer:
 def choose_landmarks(texts: list[str], labels: np.ndarray, most: int) -> list[str]:
     """Strings, or beginnings of strings, whose presence tells the labels apart best, by a smoothed log ratio weighted with
     their count; of those that begin alike only the best."""
-    parts = lambda found: {s for s in found if 4 <= len(s) <= 16} | {s[:k] for s in found for k in (6, 7) if len(s) > k + 1}
+    parts = lambda found: {s for s in found if len(s) <= WIDTH} | {s[:k] for s in found for k in (6, 7) if len(s) > k + 1}
     n0, n1 = max(1, int((labels == 0).sum())), max(1, int((labels == 1).sum()))
     least = 2 if n1 < 100 else 3 if n1 < 300 else 4
     count = (Counter(), Counter())
@@ -251,12 +293,15 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 96) -> Model:
     if rate in (0.0, 1.0) or not (marks := choose_landmarks(texts, y, landmarks)):
         return Model([], np.zeros(0), 0.0, 1.0, -30.0 if rate == 0 else math.log(rate / (1 - rate)) if rate < 1 else 30.0)
     scorer = Scorer(Model(marks, np.zeros(len(marks)), 0.0, 1.0, 0.0))
-    scorer.SEEN = 1 << 17
     x = scorer.features(texts)
     own = scorer.marks
     i, j = np.divmod(np.arange(len(marks) ** 2), len(marks))
-    s = np.where(own.t < 0, -1, own.t)
-    w = (kernel(s[i], own.t[j]) / np.sqrt(own.own[i] * own.own[j])).reshape(len(marks), -1) ** POWER
+    same = np.where(own.t < 0, -1, own.t)
+    w = np.zeros(len(i))
+    for order in (SHORT, ORDER):
+        at = np.flatnonzero(own.order[j] == order)
+        w[at] = kernel(same[i[at]], own.t[j[at]], order) / np.sqrt(np.maximum(kernel(same, own.t, order)[i[at]] * own.own[j[at]], 1e-30))
+    w = w.reshape(len(marks), -1) ** POWER
     value, vector = np.linalg.eigh((w + w.T) / 2)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.05))) @ vector.T
     weight = np.where(y > 0, min(4.0, (1 - rate) / rate) ** 0.5, 1.0)
