@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavelens.operators import clustering, content, filters, peaks, pitch, rhythm, tonal
+from wavelens.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -58,7 +59,7 @@ def test_tempo_and_envelopes(spark):
     levels = [0.0, 0.0, 2.0, 5.0, 10.0, 6.0, 0.5, 0.0]
     # frames of one pair +-level have that RMS and mean zero
     df = spark.createDataFrame([(1, [s * x for x in levels for s in (1, -1)])], "signal_id long, v array<double>")
-    assert [tuple(r) for r in rhythm.attack_decay(df, 4.0, 2, 2).collect()] == [(1, 4, 3, 2)]
+    assert [tuple(r) for r in rhythm.attack_decay(tables.exploded(df), 4.0, 2, 2).collect()] == [(1, 4, 3, 2)]
 
 
 def test_harmonics_of_a_comb(spark):
@@ -69,7 +70,7 @@ def test_harmonics_of_a_comb(spark):
     assert f0.where("frame = 0").first().bin == 6
     h = peaks.harmonic_series(peaks.harmonics(p, f0.select("signal_id", "frame", F.col("bin").cast("double").alias("f0")))).where("frame = 0").first()
     assert h.n == 10 and h.inharmonicity == pytest.approx(0) and h.odd_even == pytest.approx(sum(1 / k**2 for k in range(1, 11, 2)) / sum(1 / k**2 for k in range(2, 11, 2)))
-    assert {r.frames for r in peaks.tracks(p).collect()} == {2}
+    assert h.decay < 0
 
 
 def test_clusters_of_blobs(spark):

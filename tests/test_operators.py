@@ -20,19 +20,19 @@ def known(spark):
 
 
 def test_profile_of_known_signals(known):
-    got = {r.signal_id: r for r in temporal.profile(known).collect()}
+    got = {r.signal_id: r for r in temporal.profile(tables.exploded(known)).collect()}
     assert got[1].crest == pytest.approx(math.sqrt(2), abs=1e-6)
     assert got[2].rms == got[3].rms == 0 and got[2].crest == 0 and got[3].range_db == 0
-    assert got[5].n == 1 and got[6].n == 0 and got[6].zcr == 0
+    assert got[5].n == 1 and got[5].zcr == 0 and 6 not in got
 
 
 def test_dft_agrees_with_fast_transform(known):
-    got = {(r.frame, r.bin): r.power for r in spectrum.dft(known.where("signal_id = 1"), 64, 64).collect()}
+    got = {(r.frame, r.bin): r.power for r in spectrum.dft(tables.exploded(known.where("signal_id = 1")), 64, 64).collect()}
     x = np.array(known.where("signal_id = 1").first().v)
     want = np.abs(np.fft.rfft(x - x.mean())) ** 2
     assert all(got[0, b] == pytest.approx(w, abs=1e-6) for b, w in enumerate(want))
     assert int(np.argmax(want)) == 4
-    fast = spectrum.stft(known, 64, 64).collect()
+    fast = spectrum.stft(tables.exploded(known), 64, 64).collect()
     assert {r.signal_id for r in fast} == {1, 2, 3, 4}
     assert np.allclose([r.m for r in fast if r.signal_id == 4][0], 1.0)
 
@@ -73,7 +73,7 @@ def test_lag_and_warping(spark):
     pairs = spark.createDataFrame([(1, 2)], "query_id long, ref_id long")
     best = alignment.best_lag(alignment.lag_correlation(s, pairs)).first()
     assert best.lag == 5 and best.peak == pytest.approx(1)
-    total, path = alignment.dtw(x, x)
+    total, path, _ = alignment.dtw(x, x)
     assert total == 0 and path == [(i, i) for i in range(40)]
     assert alignment.dtw(np.array([0.0, 1, 2]), np.array([0.0, 0, 1, 2]))[0] == 0
 

@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import dot, mean, safe, squares, total
+from .arrays import dot, let, mean, safe, squares, total
 
 
 def _pair(a: Column, b: Column, f) -> Column:
     return total(F.zip_with(a, b, f))
 
 
-def _probability(a: Column) -> Column:
+def probability(a: Column) -> Column:
     """Positive part scaled to sum 1; uniform if there is none."""
-    pos = F.transform(a, lambda v: F.greatest(v, F.lit(0.0)))
-    s, n = total(pos), F.size(a)
-    return F.transform(pos, lambda v: F.when(s > 0, v / F.nullif(s, F.lit(0.0))).otherwise(1.0 / n))
+    positive = F.transform(a, lambda v: F.greatest(v, F.lit(0.0)))
+    return let(positive, lambda pos: let(total(pos), lambda s: let(1.0 / F.size(pos), lambda u: F.transform(pos, lambda v: F.when(s > 0, v / F.nullif(s, F.lit(0.0))).otherwise(u)))))
 
 
 def euclidean(a, b):
@@ -44,9 +43,8 @@ def cosine(a, b):
 
 
 def pearson_correlation(a, b):
-    ma, mb = mean(a), mean(b)
-    da, db = F.transform(a, lambda v: v - ma), F.transform(b, lambda v: v - mb)
-    return safe(dot(da, db), F.sqrt(squares(da)) * F.sqrt(squares(db)))
+    around = lambda x: let(x, lambda y: let(mean(y), lambda m: F.transform(y, lambda v: v - m)))
+    return let(around(a), lambda da: let(around(b), lambda db: safe(dot(da, db), F.sqrt(squares(da)) * F.sqrt(squares(db)))))
 
 
 def pearson(a, b):
@@ -65,26 +63,42 @@ def bray_curtis(a, b):
     return safe(_pair(a, b, lambda x, y: F.abs(x - y)), _pair(a, b, lambda x, y: F.abs(x) + F.abs(y)))
 
 
+def jaccard(a, b):
+    """1 - share of the positions that hold more than 1e-10 in both among those that do in either; 0 if there are none."""
+    on = lambda x: F.abs(x) > 1e-10
+    either = _pair(a, b, lambda x, y: F.when(on(x) | on(y), 1.0).otherwise(0.0))
+    return F.when(either > 0, 1 - safe(_pair(a, b, lambda x, y: F.when(on(x) & on(y), 1.0).otherwise(0.0)), either)).otherwise(0.0)
+
+
+def mahalanobis(a, b):
+    """The Euclidean distance: without a covariance matrix every position counts alike."""
+    return euclidean(a, b)
+
+
+def bhattacharyya(a, b):
+    return -F.log(F.greatest(_pair(probability(a), probability(b), lambda p, q: F.sqrt(p * q)), F.lit(1e-10)))
+
+
 def kl_divergence(a, b):
-    return _pair(_probability(a), _probability(b), lambda p, q: F.when((p > 0) & (q > 0), p * F.log(p / F.nullif(q, F.lit(0.0)))).otherwise(0.0))
+    return _pair(probability(a), probability(b), lambda p, q: F.when((p > 0) & (q > 0), p * F.log(p / F.nullif(q, F.lit(0.0)))).otherwise(0.0))
 
 
 def jensen_shannon(a, b):
-    p, q = _probability(a), _probability(b)
+    p, q = probability(a), probability(b)
     half = lambda x, m: F.when(x > 0, x * F.log(x / F.nullif(m, F.lit(0.0)))).otherwise(0.0)
     s = _pair(p, q, lambda x, y: (half(x, (x + y) / 2) + half(y, (x + y) / 2)) / 2)
     return F.sqrt(F.greatest(s, F.lit(0.0)))
 
 
 def hellinger(a, b):
-    return F.sqrt(_pair(_probability(a), _probability(b), lambda x, y: (F.sqrt(x) - F.sqrt(y)) * (F.sqrt(x) - F.sqrt(y)))) / 2**0.5
+    return F.sqrt(_pair(probability(a), probability(b), lambda x, y: (F.sqrt(x) - F.sqrt(y)) * (F.sqrt(x) - F.sqrt(y)))) / 2**0.5
 
 
 def earth_movers(a, b):
     """Sum of absolute differences of the cumulative distributions."""
-    d = F.zip_with(_probability(a), _probability(b), lambda x, y: x - y)
+    d = F.zip_with(probability(a), probability(b), lambda x, y: x - y)
     zero = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("s"))
     return F.aggregate(d, zero, lambda acc, v: F.struct((acc["c"] + v).alias("c"), (acc["s"] + F.abs(acc["c"] + v)).alias("s")))["s"]
 
 
-METRICS = {f.__name__: f for f in (euclidean, manhattan, chebyshev, minkowski, cosine, pearson, hamming, canberra, bray_curtis, kl_divergence, jensen_shannon, hellinger, earth_movers)}
+METRICS = {f.__name__: f for f in (euclidean, manhattan, chebyshev, minkowski, cosine, pearson, mahalanobis, hamming, jaccard, canberra, bray_curtis, kl_divergence, jensen_shannon, hellinger, bhattacharyya, earth_movers)}

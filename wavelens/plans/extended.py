@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clustering, content, filters, peaks, pitch, rhythm, temporal, tonal
+from ..functions import distance
+from ..operators import clustering, content, filters, matching, peaks, pitch, rhythm, spectrum, temporal, tonal
 from ..sources import tables
-from .registry import _CHROMA, HOP, ORACLES, QUERIES, RATE, SAMPLES, FRAMES, SPECTRA, WIDTH, _frame_rows, _r, query, rounded
+from .registry import _CHROMA, HOP, ORACLES, QUERIES, RATE, SAMPLES, FRAMES, SPECTRA, WIDTH, _chroma, _frame_rows, _r, query, rounded
 
 
 @query("frame_shape", f"WITH {SAMPLES}, {FRAMES} SELECT signal_id, CAST(frame AS BIGINT) AS frame, {_r('max(abs(x))', 'peak')}, {_r(f'coalesce(max(abs(x)) / nullif(sqrt(sum(x * x) / {WIDTH}), 0), 0)', 'crest')} FROM f GROUP BY 1, 2")
 def frame_shape(spark, d):
-    return rounded(rhythm.frame_shape(tables.signals(spark, d), WIDTH, HOP))
+    return rounded(rhythm.frame_shape(tables.samples(spark, d), WIDTH, HOP))
 
 
 @query(
@@ -22,7 +23,7 @@ SELECT signal_id, {_r('avg(CASE WHEN e < 60 THEN 1.0 ELSE 0.0 END)', 'silence')}
  {_r('coalesce(sum(CASE WHEN d > lim THEN e * e ELSE 0 END) / nullif(sum(e * e), 0), 0)', 'transient')} FROM d JOIN l USING (signal_id) GROUP BY 1""",
 )
 def frame_activity(spark, d):
-    return rounded(rhythm.activity(tables.signals(spark, d), WIDTH, HOP))
+    return rounded(rhythm.activity(tables.samples(spark, d), WIDTH, HOP))
 
 
 @query(
@@ -31,7 +32,7 @@ def frame_activity(spark, d):
 SELECT signal_id, {_r('low', 'low')}, {_r('high', 'high')}, {_r('CASE WHEN low > 1e-10 AND high > 1e-10 THEN 20 * log10(high / low) ELSE 0 END', 'range_db')} FROM h""",
 )
 def level_range(spark, d):
-    return rounded(rhythm.level_range(tables.signals(spark, d), WIDTH, HOP))
+    return rounded(rhythm.level_range(tables.samples(spark, d), WIDTH, HOP))
 
 
 _SECONDS = HOP / 32.0
@@ -48,7 +49,7 @@ SELECT signal_id, tempo, votes, CASE WHEN tempo < 60 THEN 'very slow' WHEN tempo
 )
 def tempo(spark, d):
     on = temporal.onsets(_frame_rows(spark, d).withColumn("delta", F.round("delta", 9)))
-    return rhythm.tempo(on, tables.signals(spark, d).select("signal_id"), _SECONDS)
+    return rhythm.tempo(on, tables.samples(spark, d).select("signal_id").distinct(), _SECONDS)
 
 
 @query(
@@ -77,7 +78,7 @@ def vocal_tract(spark, d):
 SELECT signal_id, {_r('100 * coalesce(avg(abs(d)) / nullif(avg(v), 0), 0)', 'perturbation')}, {_r('greatest(0, 1 - coalesce(stddev_pop(v) / nullif(avg(v), 0), 0))', 'steadiness')}, {_r('coalesce(sum(d * d) / nullif(sum(v * v), 0), 0)', 'noise')} FROM t GROUP BY 1""",
 )
 def voice_quality(spark, d):
-    return rounded(pitch.voice_quality(tables.signals(spark, d)))
+    return rounded(pitch.voice_quality(tables.samples(spark, d)))
 
 
 @query(
@@ -90,9 +91,18 @@ def dc_removal(spark, d):
     return rounded(y.select("signal_id", F.posexplode("y").alias("i", "y")).withColumn("i", F.col("i").cast("long")))
 
 
-@query("band_pass")
+_B, _A = filters.band_pass(RATE, 16.0, 2.0)
+
+
+@query(
+    "band_pass",
+    f"""WITH RECURSIVE {SAMPLES}, x AS (SELECT signal_id, i, {_B[0]!r}::DOUBLE * v + {_B[2]!r}::DOUBLE * coalesce(lag(v, 2) OVER (PARTITION BY signal_id ORDER BY i), 0) AS u FROM s),
+t AS (SELECT signal_id, i, u AS y, 0.0::DOUBLE AS z FROM x WHERE i = 0 UNION ALL SELECT x.signal_id, x.i, x.u - ({_A[1]!r}::DOUBLE) * t.y - ({_A[2]!r}::DOUBLE) * t.z, t.y FROM t JOIN x ON x.signal_id = t.signal_id AND x.i = t.i + 1)
+SELECT signal_id, CAST(i AS BIGINT) AS i, {_r('y', 'y')} FROM t""",
+)
 def band_pass(spark, d):
-    return filters.recursive(tables.signals(spark, d), filters.band_pass(RATE, 16.0, 2.0))
+    y = filters.recursive(tables.signals(spark, d), (_B, _A))
+    return rounded(y.select("signal_id", F.posexplode("y").alias("i", "y")).withColumn("i", F.col("i").cast("long")))
 
 
 @query(
@@ -138,7 +148,7 @@ _NET = ", ".join(f"({pc}, {x}::DOUBLE, {y}::DOUBLE)" for pc in range(12) for x,
 
 @query("tonnetz", f"WITH {_CHROMA}, t(pc, x, y) AS (VALUES {_NET}) SELECT signal_id, {_r('sum(e * x)', 'x')}, {_r('sum(e * y)', 'y')} FROM c JOIN t USING (pc) GROUP BY 1")
 def tonnetz(spark, d):
-    return rounded(tonal.tonnetz(tonal.chroma(tables.spectra(spark, d))))
+    return rounded(tonal.tonnetz(_chroma(spark, d)))
 
 
 @query(
@@ -148,7 +158,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY round(e, 9) D
 SELECT signal_id, CAST(max(CASE WHEN k = 1 THEN pc END) AS INTEGER) AS dominant, {_r('max(e)', 'strength')}, {_r('-sum(CASE WHEN e > 0 THEN e * log2(e) ELSE 0 END)', 'entropy')}, {_r('least(any_value(t), 1.0)', 'tension')} FROM k JOIN t USING (signal_id) GROUP BY 1""",
 )
 def chroma_statistics(spark, d):
-    return rounded(tonal.chroma_statistics(tonal.chroma(tables.spectra(spark, d))))
+    return rounded(tonal.chroma_statistics(_chroma(spark, d)))
 
 
 @query(
@@ -161,22 +171,38 @@ def silhouettes(spark, d):
     return rounded(clustering.silhouettes(tables.vectors(spark, d)))
 
 
-@query("k_means")
+@query("k_means", "SELECT count(*) AS vectors, CAST(10 AS BIGINT) AS clusters, count(*) AS nearest FROM embeddings WHERE embedding IS NOT NULL")
 def k_means(spark, d):
-    return clustering.k_means(tables.vectors(spark, d), 10)
+    """One row: vectors, clusters, and vectors that no other cluster's mean is nearer to than their own's."""
+    v = tables.vectors(spark, d)
+    got = clustering.k_means(v, 10)
+    labelled = v.drop("label").join(got.withColumnRenamed("cluster", "label"), "id")
+    c = matching.centres(labelled)
+    x = matching.meet(labelled.select("id", "label", "v"), c.select(F.col("label").alias("other"), "c"), "other").withColumn("d", distance.euclidean(F.col("v"), F.col("c")))
+    g = x.groupBy("id").agg(F.min("d").alias("least"), F.min(F.when(F.col("label") == F.col("other"), F.col("d"))).alias("own"), F.count("*").alias("k"))
+    return g.agg(F.count("*").alias("vectors"), F.max("k").alias("clusters"), F.sum(F.when(F.col("own") <= F.col("least") + 1e-6, 1).otherwise(0)).alias("nearest"))
+
+
+SOUND = 8000.0
+_HZ = SOUND / WIDTH
+_CENTROID = f"""cb AS (SELECT unnest(range(0, {WIDTH // 2 + 1})) AS bin), cm AS (SELECT signal_id, frame, bin, sqrt(power(sum(x * cos(bin * j * 2 * pi() / {WIDTH})), 2) + power(sum(x * sin(bin * j * 2 * pi() / {WIDTH})), 2)) AS m FROM f, cb GROUP BY 1, 2, 3),
+cs AS (SELECT signal_id, sum(bin * {_HZ!r}::DOUBLE * m) / nullif(sum(m), 0) AS centroid FROM cm GROUP BY 1)"""
 
 
 @query(
     "content_types",
-    f"""WITH b AS ({ORACLES['signal_profile']}), q AS (SELECT signal_id, r AS harmonic FROM ({ORACLES['autocorrelation_pitch']})), t AS (SELECT signal_id, silence FROM ({ORACLES['frame_activity']})),
-s AS (SELECT b.signal_id, CASE WHEN zcr < 0.1 THEN 2.0 ELSE 0 END + CASE WHEN harmonic > 0.3 THEN 2.0 ELSE 0 END + CASE WHEN stability > 0.5 THEN 1.0 ELSE 0 END + CASE WHEN range_db > 20 THEN 1.0 ELSE 0 END AS music,
- CASE WHEN zcr > 0.05 AND zcr < 0.3 THEN 2.0 ELSE 0 END + CASE WHEN harmonic < 0.2 THEN 1.0 ELSE 0 END + CASE WHEN silence > 0.1 AND silence < 0.4 THEN 1.0 ELSE 0 END AS speech,
- CASE WHEN energy_variance > 0.3 THEN 2.0 ELSE 0 END + CASE WHEN range_db > 30 THEN 1.5 ELSE 0 END + CASE WHEN stability < 0.4 THEN 1.0 ELSE 0 END AS sports FROM b LEFT JOIN q USING (signal_id) LEFT JOIN t USING (signal_id)),
-u AS (SELECT signal_id, CAST(music AS DOUBLE) AS music, CAST(speech AS DOUBLE) AS speech, CAST(sports AS DOUBLE) AS sports, 0.9::DOUBLE * CAST(speech AS DOUBLE) AS talk FROM s), w AS (SELECT *, greatest(music, speech, sports, talk) AS m FROM u)
+    f"""WITH {SAMPLES}, {FRAMES}, {_CENTROID}, b AS ({ORACLES['signal_profile']}), q AS (SELECT signal_id, r AS harmonic FROM ({ORACLES['autocorrelation_pitch']})), t AS (SELECT signal_id, silence FROM ({ORACLES['frame_activity']})),
+g AS (SELECT b.signal_id, CASE WHEN zcr < 0.1 THEN 2.0 ELSE 0 END + CASE WHEN harmonic > 0.3 THEN 2.0 ELSE 0 END + CASE WHEN stability > 0.5 THEN 1.0 ELSE 0 END + CASE WHEN range_db > 20 THEN 1.0 ELSE 0 END AS music,
+ CASE WHEN zcr > 0.05 AND zcr < 0.3 THEN 2.0 ELSE 0 END + CASE WHEN round(centroid, 6) > 800 AND round(centroid, 6) < 3000 THEN 2.0 ELSE 0 END + CASE WHEN harmonic < 0.2 THEN 1.0 ELSE 0 END + CASE WHEN silence > 0.1 AND silence < 0.4 THEN 1.0 ELSE 0 END AS speech,
+ CASE WHEN energy_variance > 0.3 THEN 2.0 ELSE 0 END + CASE WHEN range_db > 30 THEN 1.5 ELSE 0 END + CASE WHEN stability < 0.4 THEN 1.0 ELSE 0 END AS sports FROM b LEFT JOIN q USING (signal_id) LEFT JOIN t USING (signal_id) LEFT JOIN cs USING (signal_id)),
+u AS (SELECT signal_id, CAST(music AS DOUBLE) AS music, CAST(speech AS DOUBLE) AS speech, CAST(sports AS DOUBLE) AS sports, 0.9::DOUBLE * CAST(speech AS DOUBLE) AS talk FROM g), w AS (SELECT *, greatest(music, speech, sports, talk) AS m FROM u)
 SELECT signal_id, {_r('music', 'music')}, {_r('speech', 'speech')}, {_r('sports', 'sports')}, {_r('talk', 'talk')}, CASE WHEN m <= 0 THEN 'unknown' WHEN music = m THEN 'music' WHEN speech = m THEN 'news' WHEN sports = m THEN 'sports' ELSE 'talk' END AS content_type FROM w""",
 )
 def content_types(spark, d):
-    p = QUERIES["signal_profile"](spark, d)
+    x = tables.samples(spark, d)
+    p = rounded(temporal.profile(x, WIDTH, HOP).withColumn("energy_variance", F.round("energy_variance", 3)))
     h = QUERIES["autocorrelation_pitch"](spark, d).select("signal_id", F.col("r").alias("harmonic"))
-    t = QUERIES["frame_activity"](spark, d).select("signal_id", "silence")
-    return rounded(content.content_types(p.join(h, "signal_id", "left").join(t, "signal_id", "left")))
+    t = rounded(rhythm.activity(x, WIDTH, HOP)).select("signal_id", "silence")
+    m = spectrum.dft(x, WIDTH, HOP).withColumn("m", F.sqrt("power"))
+    c = m.groupBy("signal_id").agg(F.round(F.sum(F.col("bin") * _HZ * F.col("m")) / F.nullif(F.sum("m"), F.lit(0.0)), 6).alias("centroid"))
+    return rounded(content.content_types(p.join(h, "signal_id", "left").join(t, "signal_id", "left").join(c, "signal_id", "left")))

@@ -43,7 +43,7 @@ def _r(expr: str, name: str, digits: int = 6) -> str:
 
 
 def _frame_rows(spark, d):
-    return temporal.frame_energy(tables.signals(spark, d), WIDTH, HOP)
+    return temporal.frame_energy(tables.samples(spark, d), WIDTH, HOP)
 
 
 @query(
@@ -57,7 +57,7 @@ SELECT a.signal_id, CAST(n AS BIGINT) AS n, {_r('zcr', 'zcr')}, {_r('rms', 'rms'
 FROM a LEFT JOIN g USING (signal_id)""",
 )
 def signal_profile(spark, d):
-    p = temporal.profile(tables.signals(spark, d), WIDTH, HOP)
+    p = temporal.profile(tables.samples(spark, d), WIDTH, HOP)
     return rounded(p.withColumn("energy_variance", F.round("energy_variance", 3)))
 
 
@@ -78,7 +78,7 @@ def frame_energy(spark, d):
 SELECT signal_id, {_r('avg(energy)', 'mean')}, {_r('coalesce(var_samp(energy), 0)', 'variance')}, {_r('-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END)', 'entropy')}, {_r('min(energy)', 'low')}, {_r('max(energy)', 'high')} FROM q GROUP BY 1""",
 )
 def energy_statistics(spark, d):
-    return rounded(temporal.energy_statistics(tables.signals(spark, d), WIDTH, HOP))
+    return rounded(temporal.energy_statistics(tables.samples(spark, d), WIDTH, HOP))
 
 
 @query(
@@ -109,12 +109,12 @@ _W = "(PARTITION BY signal_id ORDER BY i"
 
 @query(
     "smoothed_envelope",
-    f"""WITH {SAMPLES}, t AS (SELECT *, lag(x) OVER {_W}) AS b, lead(x) OVER {_W}) AS a, avg(x) OVER {_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS tr, avg(x) OVER {_W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS ce FROM s),
+    f"""WITH {SAMPLES}, t AS (SELECT *, lag(x) OVER {_W}) AS b, lead(x) OVER {_W}) AS a, avg(x) OVER {_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS tr, avg(x) OVER {_W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS ce, list_sort(list(x) OVER {_W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS near FROM s),
 u AS (SELECT *, coalesce(CASE WHEN b IS NULL THEN a - x WHEN a IS NULL THEN x - b ELSE (a - b) / 2 END, 0) AS dd FROM t)
-SELECT signal_id, CAST(i AS BIGINT) AS i, {_r('tr', 'trailing', 5)}, {_r('ce', 'centred', 5)}, {_r('sqrt(x * x + dd * dd)', 'envelope', 5)} FROM u""",
+SELECT signal_id, CAST(i AS BIGINT) AS i, {_r('tr', 'trailing', 5)}, {_r('ce', 'centred', 5)}, {_r('near[(len(near) + 2) // 2]', 'median', 5)}, {_r('sqrt(x * x + dd * dd)', 'envelope', 5)} FROM u""",
 )
 def smoothed_envelope(spark, d):
-    return rounded(temporal.smoothed(tables.samples(spark, d)).select("signal_id", "i", "trailing", "centred", "envelope"), 5)
+    return rounded(temporal.smoothed(tables.samples(spark, d)).select("signal_id", "i", "trailing", "centred", "median", "envelope"), 5)
 
 
 @query("pre_emphasis", f"WITH {SAMPLES} SELECT signal_id, CAST(i AS BIGINT) AS i, {_r('v - 0.97 * coalesce(lag(v) OVER ' + _W + '), 0)', 'y')} FROM s")
@@ -128,7 +128,7 @@ def pre_emphasis(spark, d):
 SELECT signal_id, CAST(i AS BIGINT) AS i, {_r('coalesce((v - m) / nullif(sd, 0), 0)', 'z')}, {_r('coalesce((v - lo) / nullif(hi - lo, 0), 0)', 'unit')}, {_r('coalesce(v / nullif(l2, 0), 0)', 'energy')}, {_r('coalesce(v / nullif(pk, 0), 0)', 'peak')}, {_r('coalesce(v / nullif(rm, 0), 0)', 'rms')} FROM s JOIN g USING (signal_id)""",
 )
 def normalized_samples(spark, d):
-    return rounded(temporal.normalized(tables.signals(spark, d)))
+    return rounded(temporal.normalized(tables.samples(spark, d)))
 
 
 @query(
@@ -180,7 +180,7 @@ def regression(spark, d):
 SELECT signal_id, CAST(frame AS BIGINT) AS frame, CAST(bin AS BIGINT) AS bin, {_r(f'power(sum(x * cos(bin * j * 2 * pi() / {WIDTH})), 2) + power(sum(x * sin(bin * j * 2 * pi() / {WIDTH})), 2)', 'power', 3)} FROM f, b GROUP BY 1, 2, 3""",
 )
 def dft_power(spark, d):
-    return rounded(spectrum.dft(tables.signals(spark, d), WIDTH, HOP), 3)
+    return rounded(spectrum.dft(tables.samples(spark, d), WIDTH, HOP).select("signal_id", "frame", "bin", "power"), 3)
 
 
 _HZ = f"bin * {RATE} / {2 * (BINS - 1)}"
@@ -238,10 +238,16 @@ def window_coefficients(spark, d):
 
 @query(
     "window_properties",
-    f"""WITH {_WCTE} SELECT type, {_r('sum(w * w)', 'energy')}, {_r('sum(w) / 64', 'coherent_gain')}, {_r('sum(w * w) / 64', 'power_gain')}, {_r('10 * log10(sum(w * w) / 64)', 'processing_gain_db')}, {_r('64 * sum(w * w) / (sum(w) * sum(w))', 'enbw')} FROM w GROUP BY 1""",
+    f"""WITH {_WCTE}, l AS (SELECT type, list(w ORDER BY i) AS l FROM w GROUP BY 1), a AS (SELECT type, list_reduce(l, lambda x, y: x + y) AS s, list_reduce(list_transform(l, lambda x: x * x), lambda x, y: x + y) AS q FROM l)
+SELECT type, {_r('q', 'energy', 9)}, {_r('s / 64', 'coherent_gain', 9)}, {_r('q / 64', 'power_gain', 9)}, {_r('10 * log10(q / 64)', 'processing_gain_db', 9)}, {_r('64 * q / (s * s)', 'enbw', 9)}, {_r('-20 * log10(abs(s / 64))', 'scallop_db', 9)}, s / 64 > 0.5 AS coherent FROM a""",
 )
 def window_properties(spark, d):
-    return rounded(windows.properties(windows.window_table(spark, 64, tuple(_WSQL))))
+    return rounded(windows.properties(windows.window_table(spark, 64, tuple(_WSQL))), 9)
+
+
+@query("normalized_windows", f"WITH {_WCTE} SELECT type, CAST(i AS BIGINT) AS i, {_r('w / sqrt(avg(w * w) OVER (PARTITION BY type))', 'w')} FROM w")
+def normalized_windows(spark, d):
+    return rounded(windows.normalized(windows.window_table(spark, 64, tuple(_WSQL))))
 
 
 _CENTRE = f"{VECTORS}, ce AS (SELECT label, j, avg(x) AS c FROM e GROUP BY 1, 2)"
@@ -254,10 +260,11 @@ cu AS (SELECT *, sum(p - q) OVER (PARTITION BY id ORDER BY j) AS cd FROM pr)"""
     "centre_distances",
     f"""WITH {_CENTRE}, b AS (SELECT e.id, e.label, e.j, e.x, ce.c FROM e JOIN ce USING (label, j)), {_PROB},
 g AS (SELECT id, any_value(label) AS label, sqrt(sum((x - c) * (x - c))) AS euclidean, sum(abs(x - c)) AS manhattan, max(abs(x - c)) AS chebyshev, power(sum(power(abs(x - c), 3)), 1.0 / 3) AS minkowski,
- 1 - coalesce(sum(x * c) / nullif(sqrt(sum(x * x)) * sqrt(sum(c * c)), 0), 0) AS cosine, 1 - abs(coalesce(corr(x, c), 0)) AS pearson, sum(CASE WHEN abs(x - c) > 1e-10 THEN 1.0 ELSE 0.0 END) / count(*) AS hamming,
+ 1 - coalesce(sum(x * c) / nullif(sqrt(sum(x * x)) * sqrt(sum(c * c)), 0), 0) AS cosine, 1 - abs(coalesce(corr(x, c), 0)) AS pearson, sum(CASE WHEN abs(x - c) > 1e-10 THEN 1.0 ELSE 0.0 END) / count(*) AS hamming, sqrt(sum((x - c) * (x - c))) AS mahalanobis,
+ 1 - coalesce(sum(CASE WHEN abs(x) > 1e-10 AND abs(c) > 1e-10 THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN abs(x) > 1e-10 OR abs(c) > 1e-10 THEN 1.0 ELSE 0 END), 0), 1) AS jaccard,
  sum(coalesce(abs(x - c) / nullif(abs(x) + abs(c), 0), 0)) AS canberra, coalesce(sum(abs(x - c)) / nullif(sum(abs(x) + abs(c)), 0), 0) AS bray_curtis FROM b GROUP BY id),
 h AS (SELECT id, sum(CASE WHEN p > 0 AND q > 0 THEN p * ln(p / q) ELSE 0 END) AS kl_divergence, sqrt(greatest(sum((CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / 2), 0)) AS jensen_shannon,
- sqrt(sum(power(sqrt(p) - sqrt(q), 2))) / sqrt(2.0) AS hellinger, sum(abs(cd)) AS earth_movers FROM cu GROUP BY id)
+ sqrt(sum(power(sqrt(p) - sqrt(q), 2))) / sqrt(2.0) AS hellinger, sum(abs(cd)) AS earth_movers, -ln(greatest(sum(sqrt(p * q)), 1e-10)) AS bhattacharyya FROM cu GROUP BY id)
 SELECT id, label, {', '.join(_r(m, m) for m in METRICS)} FROM g JOIN h USING (id)""",
 )
 def centre_distances(spark, d):
@@ -301,14 +308,23 @@ def cluster_validity(spark, d):
     return rounded(matching.validity(tables.vectors(spark, d)), 5)
 
 
-_CHROMA = f"{SPECTRA}, c AS (SELECT signal_id, bin % 12 AS pc, sum(mag * mag) / sum(sum(mag * mag)) OVER (PARTITION BY signal_id) AS e FROM p GROUP BY 1, 2)"
+TONE = 8000.0
+_PC = f"CAST((round(69 + 12 * log2(bin * {TONE / (2 * (BINS - 1))!r}e0 / 440)) % 12 + 12) % 12 AS INTEGER)"
+_FRAME_CHROMA = f"""{SPECTRA}, twelve AS (SELECT unnest(range(0, 12)) AS pc), fs AS (SELECT DISTINCT signal_id, frame FROM p),
+sm AS (SELECT signal_id, frame, {_PC} AS pc, sum(mag * mag) AS e FROM p WHERE bin > 0 AND bin * {TONE / (2 * (BINS - 1))!r}e0 BETWEEN 80 AND 8000 GROUP BY 1, 2, 3),
+fc AS (SELECT signal_id, frame, twelve.pc AS pc, coalesce(e / sum(e) OVER (PARTITION BY signal_id, frame), 0) AS e FROM fs CROSS JOIN twelve LEFT JOIN sm USING (signal_id, frame, pc))"""
+_CHROMA = f"{_FRAME_CHROMA}, ma AS (SELECT signal_id, pc, avg(e) AS a FROM fc GROUP BY 1, 2), c AS (SELECT signal_id, pc, coalesce(a / nullif(sum(a) OVER (PARTITION BY signal_id), 0), 0) AS e FROM ma)"
 _KEYS = ", ".join(f"('{m}', {i}, {v})" for m, prof in (("major", tonal.MAJOR), ("minor", tonal.MINOR)) for i, v in enumerate(prof))
 _CHORDS = ", ".join(f"('{q}', {w}, {i})" for q, (iv, w) in tonal.CHORDS.items() for i in iv)
 
 
+def _chroma(spark, d):
+    return tonal.chroma(tables.spectra(spark, d), TONE)
+
+
 @query("chroma", f"WITH {_CHROMA} SELECT signal_id, CAST(pc AS INTEGER) AS pc, {_r('e', 'e')} FROM c")
 def chroma(spark, d):
-    return rounded(tonal.chroma(tables.spectra(spark, d)).select("signal_id", F.posexplode("chroma").alias("pc", "e")))
+    return rounded(_chroma(spark, d).select("signal_id", F.posexplode("chroma").alias("pc", "e")))
 
 
 @query(
@@ -318,7 +334,7 @@ s AS (SELECT signal_id, key, mode, round(corr(e, CAST(w AS DOUBLE)), 9) AS corre
 SELECT signal_id, CAST(key AS INTEGER) AS key, mode, {_r('correlation', 'correlation')} FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY correlation DESC, mode, key) AS k FROM s) WHERE k = 1""",
 )
 def key_estimate(spark, d):
-    return rounded(tonal.keys(tonal.chroma(tables.spectra(spark, d))))
+    return rounded(tonal.keys(_chroma(spark, d)))
 
 
 @query(
@@ -328,7 +344,7 @@ s AS (SELECT c.signal_id, root, quality, round(any_value(CAST(w AS DOUBLE)) * su
 SELECT signal_id, CAST(root AS INTEGER) AS root, quality, {_r('score', 'score')}, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY score DESC, root, quality) AS rank FROM s) WHERE rank <= 5""",
 )
 def chord_candidates(spark, d):
-    return rounded(tonal.chords(tonal.chroma(tables.spectra(spark, d))))
+    return rounded(tonal.chords(_chroma(spark, d)))
 
 
 def _pairs(samples):
@@ -356,15 +372,26 @@ def best_lag(spark, d):
     return rounded(alignment.best_lag(alignment.lag_correlation(s, _pairs(s))))
 
 
-@query("dtw_alignment")
+@query(
+    "dtw_alignment",
+    f"""WITH RECURSIVE {SAMPLES}, a AS (SELECT signal_id, list(v ORDER BY i) AS v FROM s GROUP BY 1), pr AS (SELECT q.signal_id AS query_id, r.signal_id AS ref_id, q.v AS q, r.v AS r, len(q.v) AS n, len(r.v) AS m FROM a AS q JOIN a AS r ON r.signal_id = q.signal_id + 1),
+t AS (SELECT query_id, ref_id, q, r, n, m, 2 AS k, list_transform(range(0, n + 1), lambda i: CASE WHEN i = 1 THEN abs(q[1] - r[1]) ELSE 1e300 END) AS d, list_transform(range(0, n + 1), lambda i: 1e300) AS o FROM pr
+ UNION ALL SELECT query_id, ref_id, q, r, n, m, k + 1, list_transform(range(0, n + 1), lambda i: CASE WHEN i < 1 OR k + 1 - i < 1 OR k + 1 - i > m THEN 1e300 ELSE abs(q[i] - r[k + 1 - i]) + least(d[i], d[i + 1], o[i]) END), d FROM t WHERE k < n + m)
+SELECT query_id, ref_id, {_r('d[n + 1]', 'cost', 4)} FROM t WHERE k = n + m""",
+)
 def dtw_alignment(spark, d):
     s = tables.signals(spark, d)
-    return alignment.warp(s, _pairs(s))
+    return rounded(alignment.warp(s, _pairs(s), 1 << 20).select("query_id", "ref_id", "cost"), 4)
 
 
-@query("stft_magnitudes")
+@query(
+    "stft_magnitudes",
+    f"""WITH {SAMPLES}, {FRAMES}, b AS (SELECT unnest(range(0, {WIDTH // 2 + 1})) AS bin), g AS (SELECT f.signal_id, f.frame, f.j, s.v FROM f JOIN s ON s.signal_id = f.signal_id AND s.i = f.frame * {HOP} + f.j)
+SELECT signal_id, CAST(frame AS BIGINT) AS frame, CAST(bin AS BIGINT) AS bin, {_r(f'sqrt(power(sum(v * cos(bin * j * 2 * pi() / {WIDTH})), 2) + power(sum(v * sin(bin * j * 2 * pi() / {WIDTH})), 2))', 'mag', 4)} FROM g, b GROUP BY 1, 2, 3""",
+)
 def stft_magnitudes(spark, d):
-    return spectrum.stft(tables.signals(spark, d), WIDTH, HOP)
+    m = spectrum.stft(tables.samples(spark, d), WIDTH, HOP)
+    return rounded(m.select("signal_id", "frame", F.posexplode("m").alias("bin", "mag")).withColumn("bin", F.col("bin").cast("long")), 4)
 
 
-from . import extended  # noqa: E402,F401  registers its queries here
+from . import extended, further, likeness, tones, voices  # noqa: E402,F401  register their queries here

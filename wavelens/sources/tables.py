@@ -11,7 +11,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(signal_id, i, v, x): the value series of every user in time order, raw and centred."""
+    """(signal_id, i, v, x): the value series of every user in time order, raw and centred.
+
+    One row a sample, so the length of a signal is not bounded by a row; everything by signal follows the one shuffle by user.
+    """
     by = Window.partitionBy("user_id")
     order = by.orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events")
@@ -19,11 +22,17 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(signal_id, v): each user's values as one ordered array, by a single shuffle."""
+    """(signal_id, v): each user's values as one ordered array, by a single shuffle; for operators on whole short signals."""
     e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("signal_id")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e"))
     return e.select("signal_id", F.transform("e", lambda s: s["value"]).alias("v"))
 
 
+def exploded(signals: DataFrame) -> DataFrame:
+    """(signal_id, i, v, x) of signals held as arrays (signal_id, v); an empty array has no rows."""
+    s = signals.select("signal_id", F.posexplode("v").alias("i", "v"))
+    return s.select("signal_id", F.col("i").cast("long").alias("i"), "v", (F.col("v") - F.avg("v").over(Window.partitionBy("signal_id"))).alias("x"))
+
+
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(signal_id, frame, m): magnitude spectra as arrays, one row a frame."""
     e = table(spark, sf_dir, "embeddings")
