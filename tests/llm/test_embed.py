@@ -50,3 +50,33 @@ def test_edges(spark):
         assert got[i] == (3, 7, i == 7)
     assert got[None] == (0, None, False)
     assert embed.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_recall_at_the_threshold():
+    """Planted pairs at cosines 0.90 to 0.92 share a bucket of some table, with the planes and tables chosen for so many classes."""
+    rng = np.random.default_rng(11)
+    for classes in (100, 10_000, 1_000_000):
+        bits, tables = embed.plan(classes, 0.9, 0.02)
+        for cosine in (0.90, 0.91, 0.92):
+            a = rng.standard_normal((2000, 64))
+            a /= np.linalg.norm(a, axis=1, keepdims=True)
+            n = rng.standard_normal(a.shape)
+            n -= (n * a).sum(1, keepdims=True) * a
+            n /= np.linalg.norm(n, axis=1, keepdims=True)
+            b = cosine * a + np.sqrt(1 - cosine**2) * n
+            met = (embed.sign_codes(a, tables, bits, 20240) == embed.sign_codes(b, tables, bits, 20240)).any(1)
+            assert met.mean() >= 0.95, (classes, cosine, met.mean())
+
+
+def test_planted_pairs_near_the_threshold(spark):
+    rng = np.random.default_rng(12)
+    a = rng.standard_normal((400, 48))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    n = rng.standard_normal(a.shape)
+    n -= (n * a).sum(1, keepdims=True) * a
+    n /= np.linalg.norm(n, axis=1, keepdims=True)
+    c = rng.uniform(0.9005, 0.92, (400, 1))
+    m = np.concatenate([a, c * a + np.sqrt(1 - c * c) * n])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embed.near_duplicates(df).collect()}
+    assert np.mean([got[400 + i].component_id == i for i in range(400)]) >= 0.95

@@ -70,6 +70,21 @@ QUERIES = {
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 ORACLES: dict[str, str] = {
+    "op2_embedding": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS c FROM v UNION SELECT n.b, r.c FROM r JOIN n ON n.a = r.a), l AS (SELECT a, count(*) AS k FROM n GROUP BY a)
+SELECT r.a AS vec_id, CAST(coalesce(any_value(k), 0) AS BIGINT) AS n_links, CAST(min(c) AS BIGINT) AS component_id, r.a = min(c) AS kept FROM r LEFT JOIN l ON l.a = r.a GROUP BY r.a
+""",
+    "op3_suffix": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), n AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n FROM d),
+q AS (SELECT doc_id, b, substr(h, 2 * b + 1, 2100) AS q FROM (SELECT doc_id, h, unnest(range(0, n - 49, 1000)) AS b FROM n WHERE n >= 50)),
+w AS (SELECT doc_id, b + o AS p, substr(q, 2 * o + 1, 100) AS s FROM (SELECT doc_id, b, q, unnest(range(0, least(1000, length(q) // 2 - 49))) AS o FROM q)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)), g AS (SELECT w.doc_id, p FROM w JOIN f USING (s) WHERE first < w.doc_id),
+o AS (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS b FROM g), i AS (SELECT doc_id, p, sum(CASE WHEN p <= b + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM o),
+s AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS z FROM i GROUP BY 1, 2), t AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y FROM s),
+c AS (SELECT t.doc_id, sum(z - a) AS gone, count(*) AS spans, max(z) AS fin, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) AS head FROM t JOIN n ON n.doc_id = t.doc_id GROUP BY 1)
+SELECT n.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(head || substr(h, 2 * fin + 1), h))) AS kept_sha256 FROM n LEFT JOIN c ON c.doc_id = n.doc_id
+""",
     "op9_decontamination": rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
