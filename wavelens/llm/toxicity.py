@@ -198,7 +198,7 @@ class Model:
 class Scorer:
     """Scores texts; what strings resemble is remembered."""
 
-    SEEN = 1 << 19
+    SEEN = 1 << 17
 
     def __init__(self, model: Model):
         self.model, self.marks = model, Landmarks(model.landmarks)
