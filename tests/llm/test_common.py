@@ -1,3 +1,6 @@
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +47,20 @@ def test_scratch_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         common.shared_folder(Spark())
+
+
+def test_text_slices_hold_one_range_at_a_time_and_give_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "release", lambda: given.append(1))
+    texts = [None, "é" * 10, "", *(str(i % 10) * 100_000 for i in range(200))]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(len(texts))), "t": texts})
+    got, most = [], 0
+    tracemalloc.start()
+    for part, some in common.text_slices(batch.slice(1), "t"):
+        assert part.num_rows == len(some)
+        most = max(most, tracemalloc.get_traced_memory()[0])
+        got += [(k, len(t), t[:2]) for k, t in zip(part.column(0).to_pylist(), some)]
+    tracemalloc.stop()
+    assert got == [(k, len(b), b[:2]) for k, t in enumerate(texts) for b in [(t or "").encode()]][1:]
+    assert most < 5_000_000 and given == [1]
+    assert [t for _, t in common.text_slices(batch.slice(0, 1), "t")] == [[b""]] and not list(common.text_slices(batch.slice(0, 0), "t"))

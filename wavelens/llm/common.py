@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,15 +110,33 @@ def without(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     return marked.where(~F.col(maybe)).drop(maybe).unionByName(rest.drop(maybe))
 
 
+@lru_cache(1)
+def _trim():
+    """The C library's call that gives freed memory back, or None where it has none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker outlives its tasks, and what it keeps counts beside the next operator's."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, budget: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Cuts a batch into row ranges of about ``budget`` text bytes; yields each with its texts as UTF-8 (null: empty)."""
-    values = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()).to_pylist()
+    """Cuts a batch into row ranges of about ``budget`` text bytes; yields each with its texts as UTF-8 (null: empty).
+
+    Only one range at a time is made into Python objects, and freed memory is given back after each batch.
+    """
+    values = batch.column(batch.schema.get_field_index(column))
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
     start = size = 0
-    for i, v in enumerate(values):
-        size += len(v or b"") + 64
-        if size >= budget or i == len(values) - 1:
-            yield batch.slice(start, i + 1 - start), [x or b"" for x in values[start : i + 1]]
+    for i, n in enumerate(sizes.tolist()):
+        size += n + 64
+        if size >= budget or i == len(sizes) - 1:
+            yield batch.slice(start, i + 1 - start), [x or b"" for x in values.slice(start, i + 1 - start).cast(pa.large_binary()).to_pylist()]
             start, size = i + 1, 0
+    release()
 
 
 def unique_name(df: DataFrame, stem: str) -> str:

@@ -20,7 +20,6 @@ gets its class's component and never names one. An empty table gives an empty re
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -163,9 +162,10 @@ def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
     scratch = Scratch(df.sparkSession, "simhash")
     row, fp = unique_name(df, "_row"), unique_name(df, "_fp")
 
-    @F.pandas_udf(T.LongType())
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint((t or "").encode(), words) for t in texts], np.uint64).view(np.int64))
+    @F.arrow_udf(T.LongType())
+    def of(texts: pa.Array) -> pa.Array:
+        parts = text_slices(pa.RecordBatch.from_arrays([texts], ["t"]), "t")
+        return pa.array(np.array([fingerprint(t, words) for _, part in parts for t in part], np.uint64).view(np.int64))
 
     rows = scratch.save(df.withColumns({row: F.monotonically_increasing_id(), fp: of(text)}))
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(row).alias("row"))
