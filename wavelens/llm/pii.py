@@ -72,15 +72,19 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _shift(c: str, k: str, alphabets: tuple[str, ...], sign: str = "+") -> str:
-    """SQL: the character k places on (or back) in its own alphabet; characters of no alphabet stay."""
-    cases = " ".join(f"WHEN instr({_sql(a)}, {c}) > 0 THEN substr({_sql(a)}, int(pmod(instr({_sql(a)}, {c}) - 1 {sign} {k}, {len(a)})) + 1, 1)" for a in alphabets)
-    return f"CASE {cases} ELSE {c} END"
+def _array(values: tuple[str, ...]) -> str:
+    """SQL: a constant array of strings without commas."""
+    return f"split({_sql(','.join(values))}, ',')"
+
+
+def _shift(c: str, k: str, abc: str, sign: str = "+") -> str:
+    """SQL: the character k places on (or back) in the one of the disjoint alphabets that has it; characters of no alphabet stay."""
+    return f"aggregate({abc}, {c}, (r, g) -> if(instr(g, r) > 0, substr(g, int(pmod(instr(g, r) - 1 {sign} {k}, length(g))) + 1, 1), r))"
 
 
 def _hash(key: str, context: str) -> str:
-    """SQL: a keyed number below 2^32 from a context, without regard to case."""
-    return f"cast(conv(substr(sha2(concat({_sql(key)}, lower({context})), 256), 1, 8), 16, 10) AS bigint)"
+    """SQL: a keyed number below 2^32 from a context, without regard to case; the key is SQL."""
+    return f"cast(conv(substr(sha2(concat({key}, lower({context})), 256), 1, 8), 16, 10) AS bigint)"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -88,33 +92,33 @@ def _let(value: str, name: str, body: str) -> str:
     return f"aggregate(array({value}), '', (_z, {name}) -> {body})"
 
 
-def _pass(e: str, key: str, alphabets: tuple[str, ...], ahead: bool, given: bool, sign: str = "+") -> str:
+def _pass(e: str, key: str, abc: str, ahead: bool, given: bool, sign: str = "+") -> str:
     """SQL: one pass over a string, from its start or its end, with contexts from the input if given, else from the output.
 
     The context of a character is a hash of all blocks passed before and its own block's characters passed before, so the
-    time is linear in the length. The state is an array of that hash and the output.
+    time is linear in the length. The state is an array of that hash and the output. Key and alphabets are SQL.
     """
     order, near = ("sequence(1, length(b))", "substr(b, 1, i - 1)") if ahead else ("sequence(length(b), 1, -1)", "substr(b, i + 1)")
-    moved = _shift("substr(b, i, 1)", _hash(key, f"concat(x[0], {near if given else 'a'})"), alphabets, sign)
+    moved = _shift("substr(b, i, 1)", _hash(key, f"concat(x[0], {near if given else 'a'})"), abc, sign)
     block = f"aggregate({order}, '', (a, i) -> {f'concat(a, {moved})' if ahead else f'concat({moved}, a)'})"
-    passed = f"sha2(concat({_sql(key)}, x[0], lower({'b' if given else 'o'})), 256)"
+    passed = f"sha2(concat({key}, x[0], lower({'b' if given else 'o'})), 256)"
     joined = lambda state, new: f"concat({state}, {new})" if ahead else f"concat({new}, {state})"
     cut = lambda t, n: f"{'' if ahead else 'reverse'}(regexp_extract_all({t}, '(?s).{{1,{n}}}', 0))"
     blocks = f"aggregate({cut('c', BLOCK)}, array(y[0], ''), (x, b) -> transform(array({block}), o -> array({passed}, {joined('x[1]', 'o')}))[0])"
     return f"aggregate({cut(e, CHAPTER)}, array('', ''), (y, c) -> transform(array({blocks}), z -> array(z[0], {joined('y[1]', 'z[1]')}))[0])[1]"
 
 
-def _permute(e: str, key: str, alphabets: tuple[str, ...]) -> str:
+def _permute(e: str, key: str, abc: str, step: tuple[str, str]) -> str:
     """SQL: both passes, one step on in every alphabet, and both passes undone.
 
     A step moves every string that has a character of an alphabet, and so does the same step seen through a permutation.
     """
-    ahead = _pass(e, key + ">", alphabets, True, True)
-    back = _pass("s", key + "<", alphabets, False, False)
-    step = f"translate(t, {_sql(''.join(alphabets))}, {_sql(''.join(a[1:] + a[0] for a in alphabets))})"
-    unback = _pass("u", key + "<", alphabets, False, True, "-")
-    unahead = _pass("v", key + ">", alphabets, True, False, "-")
-    return _let(ahead, "s", _let(back, "t", _let(step, "u", _let(unback, "v", unahead))))
+    fore, aft = f"concat({key}, '>')", f"concat({key}, '<')"
+    ahead = _pass(e, fore, abc, True, True)
+    back = _pass("s", aft, abc, False, False)
+    unback = _pass("u", aft, abc, False, True, "-")
+    unahead = _pass("v", fore, abc, True, False, "-")
+    return _let(ahead, "s", _let(back, "t", _let(f"translate(t, {step[0]}, {step[1]})", "u", _let(unback, "v", unahead))))
 
 
 def _luhn(digits: str) -> str:
@@ -123,23 +127,16 @@ def _luhn(digits: str) -> str:
     return f"aggregate(sequence(0, length({digits}) - 1), 0, (acc, j) -> acc + CASE WHEN j % 2 = 1 THEN {d} WHEN {d} > 4 THEN 2 * {d} - 9 ELSE 2 * {d} END)"
 
 
-def _card(e: str, key: str) -> str:
-    """SQL: all digits but the last permuted in place, the last moved by the change of the check sum."""
-    body, tail = f"substr({e}, 1, length({e}) - 1)", f"int(substr({e}, -1))"
-    only = lambda x: f"regexp_replace({x}, '[^0-9]', '')"
-    return f"aggregate(array({_permute(body, key, ALPHABETS[:1])}), '', (y, b) -> concat(b, string(pmod({tail} + ({_luhn(only(body))}) - ({_luhn(only('b'))}), 10))))"
-
-
 def _ip(e: str, key: str) -> str:
-    """SQL: the same over octets."""
+    """SQL: the permutation over octets."""
     none = "cast(array() AS array<int>)"
     joined = lambda x: f"array_join({x}, '.')"
     parts = f"transform(split({e}, '[.]'), o -> int(o))"
-    ahead = f"aggregate(sequence(1, 4), {none}, (acc, i) -> concat(acc, array(int(({parts}[i - 1] + {_hash(key + '>', joined(f'slice({parts}, 1, i - 1)'))}) % 256))))"
-    back = f"aggregate(sequence(4, 1, -1), {none}, (acc, i) -> concat(array(int((s[i - 1] + {_hash(key + '<', joined('acc'))}) % 256)), acc))"
+    ahead = f"aggregate(sequence(1, 4), {none}, (acc, i) -> concat(acc, array(int(({parts}[i - 1] + {_hash(_sql(key + '>'), joined(f'slice({parts}, 1, i - 1)'))}) % 256))))"
+    back = f"aggregate(sequence(4, 1, -1), {none}, (acc, i) -> concat(array(int((s[i - 1] + {_hash(_sql(key + '<'), joined('acc'))}) % 256)), acc))"
     step = "transform(t, x -> (x + 1) % 256)"
-    unback = f"transform(sequence(1, 4), i -> int(pmod(u[i - 1] - {_hash(key + '<', joined('slice(u, i + 1, 4 - i)'))}, 256)))"
-    unahead = f"aggregate(sequence(1, 4), {none}, (acc, i) -> concat(acc, array(int(pmod(v[i - 1] - {_hash(key + '>', joined('acc'))}, 256)))))"
+    unback = f"transform(sequence(1, 4), i -> int(pmod(u[i - 1] - {_hash(_sql(key + '<'), joined('slice(u, i + 1, 4 - i)'))}, 256)))"
+    unahead = f"aggregate(sequence(1, 4), {none}, (acc, i) -> concat(acc, array(int(pmod(v[i - 1] - {_hash(_sql(key + '>'), joined('acc'))}, 256)))))"
     return _let(ahead, "s", _let(back, "t", _let(step, "u", _let(unback, "v", joined(unahead)))))
 
 
@@ -149,16 +146,6 @@ def given_names(names: tuple[str, ...], key: str) -> dict[str, str]:
     return dict(zip(order, order[1:] + order[:1]))
 
 
-def _name(e: str, key: str) -> str:
-    """SQL: title kept; a known given name replaced by another of its gender, every other part permuted."""
-    made = given_names(MALE_NAMES, key) | given_names(FEMALE_NAMES, key)
-    listed, new = (f"array({', '.join(map(_sql, x))})" for x in (made.keys(), made.values()))
-    # names outside the lists stay outside: the permutation goes on until it leaves the lists
-    other = f"aggregate(sequence(1, {WALK}), w, (x, n) -> if(n = 1 OR array_contains({listed}, x), {_permute('x', key, NAME_ALPHABETS)}, x))"
-    part = f"CASE WHEN array_contains({listed}, w) THEN {new}[int(array_position({listed}, w)) - 1] ELSE {other} END"
-    return f"concat_ws(' ', split({e}, ' ')[0], array_join(transform(slice(split({e}, ' '), 2, 4), w -> {part}), ' '))"
-
-
 def kind_sql(e: str) -> str:
     """SQL: the kind of a found entity."""
     return (
@@ -169,19 +156,35 @@ def kind_sql(e: str) -> str:
 
 
 def surrogate_sql(e: str, key: str) -> str:
-    """SQL: the surrogate of a found entity. Letters of no alphabet alone give keyed letters in the entity's format."""
-    k = lambda kind: f"{key}/{kind}/"
+    """SQL: the surrogate of a found entity. Letters of no alphabet alone give keyed letters in the entity's format.
+
+    The permutation is written once, for all kinds: an entity's kind gives its key, its alphabets and what stays before
+    and after. A copy for every kind would make a plan of many thousand expressions, which the driver plans and logs.
+    """
     dot = f"(length({e}) - instr(reverse({e}), '.'))"
-    phone = f"regexp_extract({e}, '^([+][0-9]{{1,3}}[ .-]|[+][0-9]|)(.*)$', %d)"
-    made = (
-        f"CASE {kind_sql(e)} WHEN 'email' THEN concat({_permute(f'substr({e}, 1, {dot})', k('email'), ALPHABETS)}, substr({e}, {dot} + 1)) "
-        f"WHEN 'phone' THEN concat({phone % 1}, {_permute(phone % 2, k('phone'), ALPHABETS[:1])}) WHEN 'ip' THEN {_ip(e, k('ip'))} WHEN 'card' THEN {_card(e, k('card'))} "
-        f"WHEN 'ssn' THEN {_permute(e, k('ssn'), ALPHABETS[:1])} WHEN 'account' THEN concat(substr({e}, 1, 2), {_permute(f'substr({e}, 3)', k('account'), ALPHABETS)}) "
-        f"WHEN 'name' THEN {_name(e, k('name'))} WHEN 'secret' THEN {_permute(e, k('secret'), HEX_ALPHABETS)} END"
-    )
+    kinds = f"array({_array(ALPHABETS)}, {_array(ALPHABETS[:1])}, {_array(NAME_ALPHABETS)}, {_array(HEX_ALPHABETS)})"
+    head = f"CASE kind WHEN 'phone' THEN regexp_extract({e}, '^([+][0-9]{{1,3}}[ .-]|[+][0-9]|)', 1) WHEN 'account' THEN substr({e}, 1, 2) WHEN 'name' THEN concat(split({e}, ' ')[0], ' ') ELSE '' END"
+    tail = f"CASE kind WHEN 'email' THEN substr({e}, {dot} + 1) WHEN 'card' THEN substr({e}, -1) ELSE '' END"
+    abc = f"{kinds}[CASE kind WHEN 'secret' THEN 3 WHEN 'name' THEN 2 WHEN 'email' THEN 0 WHEN 'account' THEN 0 ELSE 1 END]"
+    own = f"transform(array({kind_sql(e)}), kind -> named_struct('kind', kind, 'key', concat({_sql(key + '/')}, kind, '/'), 'head', {head}, 'tail', {tail}, 'abc', {abc}))"
+    # a step is the translation from all alphabets to all of them, each turned by one
+    turned = "array_join(transform(f.abc, g -> concat(substr(g, 2), substr(g, 1, 1))), '')"
+    moved = _permute("x", "f.key", "f.abc", ("array_join(f.abc, '')", turned))
+    made = given_names(MALE_NAMES, f"{key}/name/") | given_names(FEMALE_NAMES, f"{key}/name/")
+    listed, new = _array(tuple(made)), _array(tuple(made.values()))
+    # a known given name becomes another; names outside the lists stay outside: the permutation goes on until it leaves the lists
+    other = f"aggregate(sequence(1, if(f.kind = 'name', {WALK}, 1)), w, (x, n) -> if(n = 1 OR array_contains({listed}, x), {moved}, x))"
+    part = f"CASE WHEN f.kind = 'name' AND array_contains({listed}, w) THEN {new}[int(array_position({listed}, w)) - 1] ELSE {other} END"
+    body = f"substr({e}, length(f.head) + 1, length({e}) - length(f.head) - length(f.tail))"
+    parts = f"if(f.kind = 'name', split({body}, ' '), array({body}))"
+    digits = lambda x: f"regexp_replace({x}, '[^0-9]', '')"
+    # a card's last digit is moved by the change of the others' check sum
+    end = f"if(f.kind = 'card', string(pmod(int(f.tail) + ({_luhn(digits(body))}) - ({_luhn(digits('b'))}), 10)), f.tail)"
+    whole = _let(f"array_join(transform({parts}, w -> {part}), ' ')", "b", f"concat(f.head, b, {end})")
     letters = f"translate(substr(sha2(concat({_sql(key)}, {e}), 256), 1, 24), '0123456789abcdef', 'ghijklmnopqrstuv')"
-    plain = f"CASE {kind_sql(e)} WHEN 'email' THEN concat(substr({letters}, 1, 12), '@', substr({letters}, 13), substr({e}, {dot} + 1)) WHEN 'name' THEN concat(split({e}, ' ')[0], ' ', initcap({letters})) ELSE {letters} END"
-    return _let(made, "_m", f"if(_m <> {e} OR NOT {e} RLIKE {_sql(LETTER)}, _m, {plain})")
+    plain = f"CASE f.kind WHEN 'email' THEN concat(substr({letters}, 1, 12), '@', substr({letters}, 13), substr({e}, {dot} + 1)) WHEN 'name' THEN concat(split({e}, ' ')[0], ' ', initcap({letters})) ELSE {letters} END"
+    chosen = _let(f"if(f.kind = 'ip', {_ip(e, f'{key}/ip/')}, {whole})", "_m", f"if(_m <> {e} OR NOT {e} RLIKE {_sql(LETTER)}, _m, {plain})")
+    return f"transform({own}, f -> {chosen})[0]"
 
 
 def entities(text: str = "text") -> F.Column:
